@@ -1,0 +1,64 @@
+"""The pN_ queries of this subpackage and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspan.llm.radix import over_cap
+from quillspan.llm.topn import top_n
+from quillspan.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records beyond floor(n / 25), at least 3, of their source in an issue of n distinct records."""
+    c = table(spark, sf_dir, "candidates").select("issue_date", "cand_id", "source", "score").where("issue_date IS NOT NULL AND cand_id IS NOT NULL")
+    name = F.lower(F.trim(F.regexp_replace("source", r"(?U)\s+", " ")))
+    one = (
+        c.select("issue_date", "cand_id", F.when(name != "", name).alias("source"), F.when(~F.isnan("score"), F.col("score")).alias("score"))
+        .groupBy("issue_date", "cand_id")
+        .agg(F.max(F.struct("score", "source")).alias("best"))
+        .select("issue_date", "cand_id", "best.source", "best.score")
+    )
+    n = one.groupBy("issue_date").agg(F.count("*").alias("n")).select("issue_date", F.greatest(F.lit(3), F.floor(F.col("n") / 25)).cast("long").alias("cap"))
+    return over_cap(one.where("source IS NOT NULL").join(n, "issue_date"), ["issue_date", "source"], "score", "cand_id", "cap").select("cand_id")
+
+
+SQL["p4_found"] = r"""
+WITH c AS (SELECT DISTINCT issue_date, cand_id, score, nullif(trim(regexp_replace(lower(source), '\s+', ' ', 'g')), '') AS src FROM candidates),
+n AS (SELECT issue_date, greatest(3, count(DISTINCT cand_id) // 25) AS cap FROM c GROUP BY issue_date),
+r AS (SELECT c.cand_id, n.cap, row_number() OVER (PARTITION BY c.issue_date, c.src ORDER BY score DESC NULLS LAST, cand_id) AS rn
+      FROM c JOIN n USING (issue_date) WHERE src IS NOT NULL)
+SELECT cand_id FROM r WHERE rn > cap
+"""
+
+
+def _category() -> Column:
+    c = F.lower(F.trim("category"))
+    return F.when(c == "cae_ai_engineering", "engineering_ai").when(c != "", c)
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best distinct records of each issue and category."""
+    rows = table(spark, sf_dir, "candidates").select("issue_date", _category().alias("category"), "cand_id", "score")
+    return top_n(rows, ["issue_date", "category"], "score", "cand_id", 10).select(F.date_format("issue_date", "yyyy-MM-dd").alias("issue_date"), "category", "cand_id")
+
+
+SQL["p6_found"] = """
+WITH c AS (SELECT DISTINCT issue_date, cand_id, score, CASE lower(trim(category)) WHEN 'cae_ai_engineering' THEN 'engineering_ai' WHEN '' THEN NULL
+           ELSE lower(trim(category)) END AS category FROM candidates),
+r AS (SELECT *, row_number() OVER (PARTITION BY issue_date, category ORDER BY score DESC NULLS LAST, cand_id) AS rn FROM c WHERE category IS NOT NULL)
+SELECT strftime(issue_date, '%Y-%m-%d') AS issue_date, category, cand_id FROM r WHERE rn <= 10
+"""
