@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from quillspan.plans import general
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**general.QUERIES}
+SQL: dict[str, str] = {**general.SQL}

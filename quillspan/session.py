@@ -67,7 +67,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def input_mb(df: DataFrame) -> float:
     """Megabytes of df's sources by the optimizer's statistics; decides only how finely work is divided."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(float(size.toString()) / 1e6, 1e9)
+    return min(float(str(size)) / 1e6, 1e9)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
