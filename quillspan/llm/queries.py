@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.radix import over_cap
+from quillspan.llm.spans import shared_spans
 from quillspan.llm.topn import top_n
 from quillspan.session import table
 
@@ -62,3 +63,9 @@ WITH c AS (SELECT DISTINCT issue_date, cand_id, score, CASE lower(trim(category)
 r AS (SELECT *, row_number() OVER (PARTITION BY issue_date, category ORDER BY score DESC NULLS LAST, cand_id) AS rn FROM c WHERE category IS NOT NULL)
 SELECT strftime(issue_date, '%Y-%m-%d') AS issue_date, category, cand_id FROM r WHERE rn <= 10
 """
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of 200 characters and more that another document holds too."""
+    return shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", 200)
