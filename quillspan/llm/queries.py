@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.llm.neardup import near_duplicate_pairs
 from quillspan.llm.radix import over_cap
 from quillspan.llm.spans import shared_spans
 from quillspan.llm.topn import top_n
@@ -69,3 +70,11 @@ SELECT strftime(issue_date, '%Y-%m-%d') AS issue_date, category, cand_id FROM r
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of 200 characters and more that another document holds too."""
     return shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", 200)
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records half of whose three-word runs are common."""
+    c = table(spark, sf_dir, "candidates").select("cand_id", "title", "text")
+    pairs = near_duplicate_pairs(c, "cand_id", ["title", "text"], threshold=0.5, run=3)
+    return pairs.select(F.col("a").alias("cand_id_a"), F.col("b").alias("cand_id_b"))

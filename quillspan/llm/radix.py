@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspan.session import cut
 
 TOP = -(1 << 63)  # the sign bit of a signed 64-bit number
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def descending_bits(score: pd.Series) -> pd.Series:
     """Signed numbers whose ascending order is the descending order of the scores; null and NaN come last."""
     import numpy as np
