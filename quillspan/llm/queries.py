@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.llm.mixing import mixture
 from quillspan.llm.neardup import near_duplicate_pairs
+from quillspan.llm.packing import pack
 from quillspan.llm.radix import over_cap
 from quillspan.llm.spans import shared_spans
+from quillspan.llm.tokens import token_sizes
 from quillspan.llm.topn import top_n
 from quillspan.session import table
 
@@ -78,3 +81,41 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "candidates").select("cand_id", "title", "text")
     pairs = near_duplicate_pairs(c, "cand_id", ["title", "text"], threshold=0.5, run=3)
     return pairs.select(F.col("a").alias("cand_id_a"), F.col("b").alias("cand_id_b"))
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    return [tuple(r) for r in table(spark, sf_dir, "pack_profiles").select("profile", "capacity_tokens").orderBy("profile").collect()]  # a fixed table
+
+
+@query
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or piece of a longer one, for each profile."""
+    sizes = token_sizes(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return pack(sizes, "doc_id", "n_tokens", _profiles(spark, sf_dir))
+
+
+@query
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each profile are."""
+    capacity = table(spark, sf_dir, "pack_profiles")
+    packed = p7_packed(spark, sf_dir).groupBy("profile", "container").agg(F.sum("n_tokens").alias("n"))
+    per = packed.groupBy("profile").agg(F.count("*").alias("containers"), F.sum("n").alias("n_tokens"))
+    return per.join(capacity, "profile").select("profile", "capacity_tokens", "containers", "n_tokens", (F.col("n_tokens") / F.col("containers") / F.col("capacity_tokens")).alias("filled"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf_dir, "mix_targets")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(targets.select("source"), "source", "left_semi")
+    return mixture(token_sizes(docs, "text"), targets, "doc_id", "source", "n_tokens")
+
+
+@query
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture in order, with their use and offset."""
+    return _mixture(spark, sf_dir)[0]
+
+
+@query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mixture(spark, sf_dir)[1]
