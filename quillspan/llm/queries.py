@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.llm.history import repeats_of_history
 from quillspan.llm.mixing import mixture
 from quillspan.llm.neardup import near_duplicate_pairs
 from quillspan.llm.packing import pack
@@ -119,3 +120,11 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source."""
     return _mixture(spark, sf_dir)[1]
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of batches 1 to 10 that repeat an accepted one."""
+    rows = table(spark, sf_dir, "incoming_candidates")
+    found = repeats_of_history(rows, "batch_no", "rec_id", "title", "url", "published_at")
+    return found.select(F.col("accepted_rec").alias("accepted_rec_id"), F.col("repeat_rec").alias("repeat_rec_id"))
