@@ -46,7 +46,9 @@ def same_event(a: str, b: str, variant: Variant = BUILDER) -> Column:
     held = words
     if variant.url:
         held = held | ((F.col(f"{a}._url") != "") & (F.col(f"{a}._url") == F.col(f"{b}._url")))
-    return held | F.coalesce(F.col(f"{a}._key") == F.col(f"{b}._key"), F.lit(False))
+    if variant.event_key:
+        held = held | F.coalesce(F.col(f"{a}._key") == F.col(f"{b}._key"), F.lit(False))
+    return held
 
 
 def _blocks(df: DataFrame, group: Sequence[str], ident: str, frequency: DataFrame, variant: Variant) -> DataFrame:

@@ -4,34 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from quillspan.operators.events import BUILDER, Variant, repeats_of, same_event_pairs
+from quillspan.operators.events import BUILDER, Variant, repeats_of, same_event, same_event_pairs
 from quillspan.session import scratch
 
+#: Published rows of a lookback that may be broadcast.
+BROADCAST_ROWS = 10_000
+
 
 def published_index(items: DataFrame, day: str, ident: str, select: Callable[[DataFrame], DataFrame], lookback_days: int = 7, variant: Variant = BUILDER) -> DataFrame:
     """What was published on each day, when a day may not repeat what the days before published.
 
-    The result of a day depends on those of the days before, so days are gone through in order, one bounded
-    job a day; each reads the written results of the last lookback_days days and writes its own. select takes
-    the rows of one day that repeat nothing and returns the idents chosen (with any further columns).
+    The result of a day depends on those of the days before, so days are gone through in order, one job a day
+    that reads the written results of the last lookback_days days and writes its own. select takes the rows of
+    one day that repeat nothing and returns the idents chosen (with any further columns). What a few days
+    published is a section's limit times the days, so it is broadcast and compared directly while that is at
+    most BROADCAST_ROWS rows, and joined by blocks of words beyond.
     """
     spark = items.sparkSession
     days = [r[0] for r in items.select(day).where(F.col(day).isNotNull()).distinct().orderBy(day).collect()]  # one a day
     path = scratch(spark, "published")
     cols = items.columns
     schema = None
+    sizes: dict = {}
     for d in days:
         today = items.where(F.col(day) == F.lit(d))
         if schema is not None:
             past = spark.read.schema(schema).parquet(path).where((F.col(day) < F.lit(d)) & (F.col(day) >= F.date_sub(F.lit(d), lookback_days)))
-            today = today.join(repeats_of(today, past.select(*cols), ident, day, lookback_days, variant).select(ident), ident, "left_anti").select(*cols)
+            if sum(n for e, n in sizes.items() if (d - e).days <= lookback_days) <= BROADCAST_ROWS:
+                today = today.alias("a").join(F.broadcast(past.select(*cols)).alias("b"), same_event("a", "b", variant), "left_anti")
+            else:
+                today = today.join(repeats_of(today, past.select(*cols), ident, day, lookback_days, variant).select(ident), ident, "left_anti").select(*cols)
         chosen = select(today)
         out = today.join(chosen.drop(day), ident).select(*cols, *[c for c in chosen.columns if c not in (*cols, day)])
         schema = out.schema
-        out.write.mode("append").parquet(path)
+        written = Observation()
+        out.observe(written, F.count("*").alias("n")).write.mode("append").parquet(path)
+        sizes[d] = written.get["n"]
     return spark.read.schema(schema).parquet(path) if schema is not None else items.limit(0)
 
 

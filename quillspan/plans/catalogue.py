@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import general, scalars, trend
+from quillspan.plans import general, items, scalars, trend
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**trend.QUERIES, **scalars.QUERIES, **general.QUERIES}
-SQL: dict[str, str] = {**trend.SQL, **scalars.SQL, **general.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**trend.QUERIES, **scalars.QUERIES, **items.QUERIES, **general.QUERIES}
+SQL: dict[str, str] = {**trend.SQL, **scalars.SQL, **items.SQL, **general.SQL}
