@@ -62,5 +62,5 @@ def recency(published: Column, now: Column, hours: Column) -> Column:
 def activity(end: Column, *days: Column) -> Column:
     """How recently something moved, by the first of days that isn't empty; an unreadable date is 0."""
     first = F.coalesce(*[F.when(d != "", d) for d in days])
-    age = F.greatest(F.datediff(end, F.try_to_date(F.substring(first, 1, 10), "yyyy-MM-dd")), F.lit(0))
+    age = F.datediff(end, F.try_to_date(F.substring(first, 1, 10), "yyyy-MM-dd"))  # below 0 for later days, which count as new
     return F.when(age.isNull(), 0.0).when(age <= 7, 1.0).when(age <= 30, 0.7).when(age <= 90, 0.4).otherwise(0.1)
