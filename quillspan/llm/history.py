@@ -27,11 +27,11 @@ COMMON = 4096
 STEP_ROWS, TASK_QUERIES = 2_000_000, 200_000
 
 POSTING = pa.schema(
-    [("shard", pa.int32()), ("salt", pa.int32()), ("text", pa.string()), ("batch", pa.int64()), ("rec", pa.int64()), ("n", pa.int32()), ("at", pa.int64())]
+    [("shard", pa.int32()), ("home", pa.bool_()), ("text", pa.string()), ("batch", pa.int64()), ("rec", pa.int64()), ("n", pa.int32()), ("at", pa.int64())]
 )
-POSTING_SQL = "shard int, salt int, text string, batch long, rec long, n int, at long"
+POSTING_SQL = "shard int, home boolean, text string, batch long, rec long, n int, at long"
 SEGMENT_SQL = "shard int, blob binary"
-MATCH_SQL = "rec long, match_batch long, match_rec long"
+MATCH_SQL = "rec long, batch long, of long, own_batch long, own long"
 
 
 def page_key(url: str | None) -> str | None:
@@ -66,7 +66,7 @@ def _postings(rank: dict[str, int], shards: int, query: bool):
     The text of a record is its page key, and the words of its title after its numbers and its time span. A
     suffix begins at a word; those that begin in the first n - ceil(0.7 n) + 1 of n words are enough, since
     two sets with 70 % of their union in common, both in one order, share a word within these. A query looks
-    at its own time span and those beside it.
+    at its own time span, which is its home, and those beside it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +76,7 @@ def _postings(rank: dict[str, int], shards: int, query: bool):
             for batch, rec, title, url, at in zip(*cols, strict=True):
                 page = page_key(url)
                 if page:
-                    out.append((_shard(page, shards), 0, "\x02" + page, batch, rec, 0, None))
+                    out.append((_shard(page, shards), True, "\x02" + page, batch, rec, 0, None))
                 if at is None or not title:
                     continue
                 words = ordered_words(title, rank)
@@ -87,7 +87,7 @@ def _postings(rank: dict[str, int], shards: int, query: bool):
                     tail = " ".join(words[i:]) + " "
                     for s in (span - 1, span, span + 1) if query else (span,):
                         head = f"{numbers}\x01{s}\x01"
-                        out.append((_shard(f"{head}{words[i]}", shards), 0, head + tail, batch, rec, n, at))
+                        out.append((_shard(f"{head}{words[i]}", shards), s == span, head + tail, batch, rec, n, at))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), POSTING, strict=True)], schema=POSTING)
 
@@ -150,55 +150,62 @@ def _covered(tail: str, other: str) -> int:
     return len(set(tail.split()) & set(other.split()))
 
 
-def _search(earlier_only: bool):
-    """The earliest record of the segments that each query repeats.
+def _matches(s: Segment, text: str, batch: int, rec: int, n: int, at: int, earlier_only: bool, best: tuple[int, int] | None) -> tuple[int, int] | None:
+    """The earliest record of one segment that a query repeats, if it is earlier than best."""
+    lo, hi = s.find(text)
+    if lo == hi:
+        return best
+    near = np.arange(lo, hi)
+    page = text[0] == "\x02"
+    if not page:
+        near = near[(np.abs(s.at[lo:hi] - at) <= NEAR_US) & (np.minimum(s.n[lo:hi], n) * SHARE[1] >= np.maximum(s.n[lo:hi], n) * SHARE[0])]
+    if earlier_only:
+        near = near[(s.batch[near] < batch) | ((s.batch[near] == batch) & (s.rec[near] < rec))]
+    tail = text if page else text[text.rindex("\x01") + 1 :]
+    for k in near[np.lexsort((s.rec[near], s.batch[near]))].tolist():
+        key = (int(s.batch[k]), int(s.rec[k]))
+        if best is not None and key >= best:
+            return best
+        if page:
+            return key
+        both = _covered(tail, s.texts[k][s.texts[k].rindex("\x01") + 1 :])
+        if both * SHARE[1] >= SHARE[0] * (int(s.n[k]) + int(n) - both):
+            return key
+    return best
+
+
+def _search(index: pa.Table, queries: pa.Table) -> pa.Table:
+    """For each query the earliest accepted record it repeats, and the earliest before it in its own batch.
 
     A suffix pair that begins at the first word both records share covers all words they share, so its
     coverage decides exactly; pairs that begin at a later shared word cover less and decide nothing more.
     """
-
-    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
-        if index.num_rows and queries.num_rows:
-            segments = [Segment.read(b.as_py()) for b in index.column("blob")]
-            for text, batch, rec, n, at in zip(*_arrays(queries), strict=True):
-                best = None
-                page = text[0] == "\x02"
-                tail = text if page else text[text.rindex("\x01") + 1 :]
-                for s in segments:
-                    lo, hi = s.find(text)
-                    if lo == hi:
-                        continue
-                    near = np.arange(lo, hi)
-                    if not page:
-                        near = near[(np.abs(s.at[lo:hi] - at) <= NEAR_US) & (np.minimum(s.n[lo:hi], n) * SHARE[1] >= np.maximum(s.n[lo:hi], n) * SHARE[0])]
-                    if earlier_only:
-                        near = near[(s.batch[near] < batch) | ((s.batch[near] == batch) & (s.rec[near] < rec))]
-                    for k in near[np.lexsort((s.rec[near], s.batch[near]))].tolist():
-                        key = (int(s.batch[k]), int(s.rec[k]))
-                        if best is not None and key >= best:
-                            break
-                        if page:
-                            best = key
-                            break
-                        both = _covered(tail, s.texts[k][s.texts[k].rindex("\x01") + 1 :])
-                        if both * SHARE[1] >= SHARE[0] * (int(s.n[k]) + int(n) - both):
-                            best = key
-                            break
-                if best:
-                    found.append((int(rec), *best))
-        cols = list(zip(*found, strict=True)) if found else [[], [], []]
-        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("rec", "match_batch", "match_rec"), cols, strict=True)})
-
-    return run
+    found: list[tuple] = []
+    if queries.num_rows:
+        segments = [(0, Segment.read(blob.as_py())) for blob in index.column("blob")]
+        segments.append((1, Segment.of(*_arrays(queries.filter(queries.column("home"))))))
+        asked = queries.filter(queries.column("asks")) if "asks" in queries.column_names else queries
+        for text, batch, rec, n, at in zip(*_arrays(asked), strict=True):
+            best: list[tuple[int, int] | None] = [None, None]
+            for own, s in segments:
+                best[own] = _matches(s, text, int(batch), int(rec), int(n), int(at), bool(own), best[own])
+            if best != [None, None]:
+                found.append((int(rec), *(best[0] or (None, None)), *(best[1] or (None, None))))
+    cols = list(zip(*found, strict=True)) if found else [[] for _ in range(5)]
+    return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("rec", "batch", "of", "own_batch", "own"), cols, strict=True)})
 
 
 def _keyed(index: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries of a crowded shard are dealt out over several tasks, each of which gets that shard's segments."""
+    """Queries of a crowded shard are dealt out over several tasks, each of which gets all that is searched there."""
     crowd = queries.groupBy("shard").agg(F.ceil(F.count("*") / TASK_QUERIES).cast("int").alias("tasks")).where("tasks > 1")
-    dealt = queries.drop("salt").join(crowd, "shard", "left").withColumn("salt", F.pmod(F.xxhash64("rec"), F.coalesce("tasks", F.lit(1))).cast("int"))
-    copies = index.join(crowd, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1)))
-    return copies.select("shard", "salt", "blob"), dealt.select("shard", "salt", "text", "batch", "rec", "n", "at")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1)).alias("salt")
+    with_tasks = queries.join(crowd, "shard", "left")
+    own = F.pmod(F.xxhash64("rec", "text"), F.coalesce("tasks", F.lit(1))).cast("int")
+    # a home suffix goes to all tasks of its shard to be searched, and asks in one of them only
+    homes = with_tasks.where("home").withColumn("_own", own).select("*", every).withColumn("asks", F.col("salt") == F.col("_own"))
+    others = with_tasks.where("NOT home").withColumn("salt", own).withColumn("asks", F.lit(True))
+    cols = ["shard", "salt", "home", "asks", "text", "batch", "rec", "n", "at"]
+    return index.join(crowd, "shard", "left").select("shard", every, "blob"), homes.select(*cols).union(others.select(*cols))
 
 
 class History:
@@ -231,44 +238,26 @@ class History:
     def _index(self) -> DataFrame:
         return self.spark.read.schema(SEGMENT_SQL).parquet(*[p for _, p in self.levels])
 
-    def _match(self, records: DataFrame, index: DataFrame, earlier_only: bool) -> DataFrame:
-        left, right = _keyed(index, records.mapInArrow(_postings(self.rank, self.shards, True), POSTING_SQL))
-        found = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInArrow(_search(earlier_only), MATCH_SQL)
-        return cut(found.groupBy("rec").agg(F.min(F.struct("match_batch", "match_rec")).alias("m")).select("rec", "m.match_rec", "m.match_batch"))
-
-    def check(self, records: DataFrame) -> list[DataFrame]:
-        """Take records of one batch in arrival order: repeats come out as (accepted_rec, repeat_rec), the rest is accepted."""
-        out = []
-        rest = records
-        if self.levels:
-            old = self._match(records, self._index(), False)
-            out.append(old.select(F.col("match_rec").alias("accepted_rec"), F.col("rec").alias("repeat_rec")))
-            rest = records.join(old.select("rec"), "rec", "left_anti").select(*records.columns)
-        rest = cut(rest)
-        accepted = []
-        while not rest.isEmpty():
-            # A record whose earliest like record is accepted repeats it; one without a like record is accepted;
-            # one whose like record repeats another itself is looked at again without that one.
-            own = rest.mapInArrow(_postings(self.rank, self.shards, False), POSTING_SQL).groupBy("shard").applyInArrow(_build, SEGMENT_SQL)
-            near = self._match(rest, own, True)
-            fresh = cut(rest.join(near.select("rec"), "rec", "left_anti").select(*rest.columns))
-            accepted.append(fresh)
-            known = fresh.select(F.col("rec").alias("match_rec"))
-            told = near.join(known, "match_rec", "left_semi")
-            out.append(told.select(F.col("match_rec").alias("accepted_rec"), F.col("rec").alias("repeat_rec")))
-            later = rest.join(near.join(known, "match_rec", "left_anti").select("rec"), "rec", "left_semi").select(*rest.columns)
-            if near.join(known, "match_rec", "left_anti").isEmpty():
-                break
-            # what is left may also repeat a record accepted just now other than its earliest like record
-            one = fresh.mapInArrow(_postings(self.rank, self.shards, False), POSTING_SQL).groupBy("shard").applyInArrow(_build, SEGMENT_SQL)
-            more = self._match(later, one, True)
-            out.append(more.select(F.col("match_rec").alias("accepted_rec"), F.col("rec").alias("repeat_rec")))
-            rest = cut(later.join(more.select("rec"), "rec", "left_anti").select(*rest.columns))
-        if accepted:
-            every = accepted[0]
-            for a in accepted[1:]:
-                every = every.union(a)
-            self.accept(every)
+    def check(self, records: DataFrame, size: int) -> list[DataFrame]:
+        """Take size records of one batch in arrival order: repeats come out as (accepted_rec, repeat_rec), the rest is accepted."""
+        index = self._index() if self.levels else self.spark.createDataFrame([], SEGMENT_SQL)
+        queries = records.mapInArrow(_postings(self.rank, self.shards, True), POSTING_SQL)
+        keys = ["shard"]
+        if size > TASK_QUERIES:  # a smaller batch can't crowd a shard
+            index, queries = _keyed(index, queries)
+            keys.append("salt")
+        found = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_search, MATCH_SQL)
+        old, new = F.when(F.col("of").isNotNull(), F.struct("batch", "of")), F.when(F.col("own").isNotNull(), F.struct("own_batch", "own"))
+        near = found.groupBy("rec").agg(F.min(old).alias("old"), F.min(new).alias("new")).select("rec", "old.of", F.col("new.own").alias("own"))
+        # A record like an accepted one repeats that; else one whose earliest like record in the batch is like none
+        # itself, and so accepted, repeats it. One whose like record repeats another is looked at again without it.
+        told = cut(near.join(near.select(F.col("rec").alias("own"), F.lit(True).alias("again")), "own", "left").select("rec", "of", "own", (F.col("of").isNull() & F.col("again").isNotNull()).alias("open")))
+        self.accept(records.join(told.select("rec"), "rec", "left_anti").select(*records.columns))
+        out = [told.where("NOT open").select(F.coalesce("of", "own").alias("accepted_rec"), F.col("rec").alias("repeat_rec"))]
+        left = told.where("open")
+        n = left.count()
+        if n:
+            out += self.check(cut(records.join(left.select("rec"), "rec", "left_semi").select(*records.columns)), n)
         return out
 
     def close(self) -> None:
@@ -307,7 +296,9 @@ def repeats_of_history(df: DataFrame, batch: str, rec: str, title: str, url: str
     are dealt out over several tasks.
     """
     spark = df.sparkSession
-    records = cut(_records(df, batch, rec, title, url, at).dropDuplicates(["rec"]))
+    path = scratch(spark, "records")
+    _records(df, batch, rec, title, url, at).dropDuplicates(["rec"]).write.partitionBy("batch").parquet(path)
+    records = spark.read.schema("rec long, title string, url string, at long, batch long").parquet(path).select("batch", "rec", "title", "url", "at")
     sizes = [(r["batch"], r["count"]) for r in records.groupBy("batch").count().orderBy("batch").collect()]  # one row per batch
     empty = spark.createDataFrame([], "accepted_rec long, repeat_rec long")
     if not sizes:
@@ -322,8 +313,9 @@ def repeats_of_history(df: DataFrame, batch: str, rec: str, title: str, url: str
         bounds = rows.approxQuantile("rec", [k / steps for k in range(1, steps)], 0.01) if steps > 1 else []
         for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
             part = rows if lo is None else rows.where(F.col("rec") > int(lo))
-            out += history.check(part if hi is None else part.where(F.col("rec") <= int(hi)))
+            out += history.check(part if hi is None else part.where(F.col("rec") <= int(hi)), -(-n // steps))
     history.close()
+    remove(spark, path)
     found = out[0]
     for o in out[1:]:
         found = found.union(o)
