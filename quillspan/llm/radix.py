@@ -49,10 +49,11 @@ def _spread(active: DataFrame, keys: tuple[str, str]) -> list[tuple[str, int, in
 def over_cap(df: DataFrame, contributor: list[str], score: str, ident: str, cap: str) -> DataFrame:
     """The rows that go when every contributor keeps its cap best rows.
 
-    df has one row per (contributor, ident); contributor columns are not null, cap is an integer column that
-    is the same for all rows of a contributor (null or below 0 counts as 0). Best is score descending, null
-    and NaN last, then ident (a whole number) ascending, so ties are cut in one way only. Returns df's rows,
-    its columns unchanged. An empty df gives no rows.
+    df has one row per (contributor, ident); ident is a whole number, cap an integer column that is the same
+    for all rows of a contributor (null or below 0 counts as 0). Best is score descending, null and NaN last,
+    then ident ascending, so ties are cut in one way only; rows that repeat an ident count as rows and, where
+    the cap falls on them, stay together. Rows with a null in a contributor column or ident don't count and
+    never go. Returns df's rows with its columns unchanged, whatever their names. An empty df gives no rows.
 
     Radix selection: score and ident become two order-preserving 8-byte keys. Contributors above their cap
     stay open; for them rows are counted per contributor and digit (map-side first, so a contributor with a
@@ -60,63 +61,50 @@ def over_cap(df: DataFrame, contributor: list[str], score: str, ident: str, cap:
     and only rows that carry it go on to the next digit. Two bytes are counted a pass. At the end each row
     is compared with its contributor's cutoff; no contributor's rows are ever brought together.
     """
-    base = cut(
-        df.withColumn("_k1", descending_bits(F.col(score).cast("double"))).withColumn("_k2", F.col(ident).cast("long"))
-    )
-    who = [F.col(c).alias(f"_c{i}") for i, c in enumerate(contributor)]
     cs = [f"_c{i}" for i in range(len(contributor))]
-    sizes = base.groupBy(*who).agg(F.count("*").alias("_n"), F.greatest(F.lit(0), F.coalesce(F.max(cap), F.lit(0))).alias("_need"))
+    rows = df.where(F.col(ident).isNotNull())
+    for c in contributor:
+        rows = rows.where(F.col(c).isNotNull())
+    base = cut(rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(c).alias(n) for c, n in zip(contributor, cs, strict=True)],
+        descending_bits(F.col(score).cast("double")).alias("_k1"), F.col(ident).cast("long").alias("_k2"), F.col(cap).cast("long").alias("_cap"),
+    ))
+    sizes = base.groupBy(*cs).agg(F.count("*").alias("_n"), F.greatest(F.lit(0), F.coalesce(F.max("_cap"), F.lit(0))).alias("_need"))
     state = cut(sizes.where("_n > _need"))
-    none_kept = state.where("_need = 0").select(*cs, F.lit(TOP).cast("long").alias("_cut1"), F.lit(TOP).cast("long").alias("_cut2"), F.lit(True).alias("_all"))
-    done = none_kept
+    low = F.lit(TOP).cast("long")
+    done = state.where("_need = 0").select(*cs, low.alias("_cut1"), low.alias("_cut2"), F.lit(True).alias("_all"))
     state = state.where("_need > 0").select(*cs, "_need")
-    active = cut(base.select(*who, "_k1", "_k2").join(state, cs, "left_semi"))
-    # A cutoff is built from its high bytes; bytes below an early end are all ones, which takes the whole digit.
-    fixed = state.withColumn("_cut1", F.lit(0).cast("long")).withColumn("_cut2", F.lit(0).cast("long"))
-    low = active.groupBy(*cs).agg(F.min("_k1").alias("_m1"), F.min("_k2").alias("_m2"))
+    active = cut(base.select(*cs, "_k1", "_k2").join(state, cs, "left_semi"))
     todo = _spread(active, ("_k1", "_k2"))
-    first_open = {k: min(p for kk, p, _ in todo if kk == k) if any(kk == k for kk, _, _ in todo) else 8 for k in ("_k1", "_k2")}
+    open_from = {k: min((p for key, p, _ in todo if key == k), default=8) for k in ("_k1", "_k2")}
 
     def prefix(col: str, first: int) -> Column:
-        """The shared leading bytes of a key, as bits of the unsigned form."""
-        u = F.col(col).bitwiseXOR(F.lit(TOP).cast("long"))
-        return F.lit(0).cast("long") if first == 0 else F.shiftleft(F.shiftrightunsigned(u, 64 - 8 * first), 64 - 8 * first)
+        """The leading bytes that all keys share, as bits of the unsigned form."""
+        u = F.col(col).bitwiseXOR(low)
+        return F.lit(0).cast("long") if first == 0 else F.shiftleft(F.shiftrightunsigned(u, 64 - 8 * first), 64 - 8 * first) if first < 8 else u
 
-    fixed = cut(
-        fixed.join(low, cs).withColumn("_cut1", prefix("_m1", first_open["_k1"])).withColumn("_cut2", prefix("_m2", first_open["_k2"])).select(*cs, "_need", "_cut1", "_cut2")
-    )
+    least = active.groupBy(*cs).agg(F.min("_k1").alias("_m1"), F.min("_k2").alias("_m2"))
+    # A cutoff is built from its high bytes; an early end takes the whole digit, so the bytes below are all ones.
+    fixed = cut(state.join(least, cs).select(*cs, "_need", prefix("_m1", open_from["_k1"]).alias("_cut1"), prefix("_m2", open_from["_k2"]).alias("_cut2")))
     by = Window.partitionBy(*cs).orderBy("_d")
     for key, first, width in todo:
-        c = "_cut" + key[-1]
         shift = 64 - 8 * (first + width)
-        rows = active.withColumn("_d", _digits(F.col(key), first, width))
-        counts = rows.groupBy(*cs, "_d").agg(F.count("*").alias("_n"))
-        cum = counts.withColumn("_sum", F.sum("_n").over(by)).join(fixed, cs)
-        hit = cum.where("_sum >= _need AND _sum - _n < _need")
-        step = cut(
-            hit.select(*cs, "_d", (F.col("_need") - F.col("_sum") + F.col("_n")).alias("_need"), F.col("_n").alias("_in"), *[
-                (F.col(x).bitwiseOR(F.shiftleft(F.col("_d"), shift)) if x == c else F.col(x)).alias(x) for x in ("_cut1", "_cut2")
-            ])
-        )
+        digits = active.withColumn("_d", _digits(F.col(key), first, width))
+        counts = digits.groupBy(*cs, "_d").agg(F.count("*").alias("_n"))
+        hit = counts.withColumn("_sum", F.sum("_n").over(by)).join(fixed, cs).where("_sum >= _need AND _sum - _n < _need")
+        grown = {c: F.col(c).bitwiseOR(F.shiftleft(F.col("_d"), shift)) if c[-1] == key[-1] else F.col(c) for c in ("_cut1", "_cut2")}
+        step = cut(hit.select(*cs, "_d", (F.col("_need") - F.col("_sum") + F.col("_n")).alias("_need"), F.col("_n").alias("_in"), *[v.alias(k) for k, v in grown.items()]))
         ones = F.lit((1 << shift) - 1).cast("long")
-        whole = step.where("_in = _need").select(
-            *cs,
-            *([F.col("_cut1").bitwiseOR(ones), F.lit(-1).cast("long")] if c == "_cut1" else [F.col("_cut1"), F.col("_cut2").bitwiseOR(ones)]),
-            F.lit(False),
-        )
-        done = done.union(whole)
+        ended = (F.col("_cut1").bitwiseOR(ones), F.lit(-1).cast("long")) if key == "_k1" else (F.col("_cut1"), F.col("_cut2").bitwiseOR(ones))
+        done = done.union(step.where("_in = _need").select(*cs, *ended, F.lit(False)))
         still = step.where("_in > _need")
         fixed = still.select(*cs, "_need", "_cut1", "_cut2")
         if still.isEmpty():
             break
-        active = cut(rows.join(still.select(*cs, "_d"), [*cs, "_d"], "left_semi").drop("_d"))
+        active = cut(digits.join(still.select(*cs, "_d"), [*cs, "_d"], "left_semi").drop("_d"))
     else:
         # every byte is fixed: rows equal in both keys are repeats of one ident and stay together
         done = done.union(fixed.select(*cs, "_cut1", "_cut2", F.lit(False)))
-    cutoff = done.select(*[F.col(a).alias(f"_cut{a}") for a in cs], *[F.col(x).bitwiseXOR(F.lit(TOP).cast("long")).alias(x) for x in ("_cut1", "_cut2")], "_all")
-    match = None
-    for i, c in enumerate(contributor):
-        cond = F.col(c) == F.col(f"_cut_c{i}")
-        match = cond if match is None else match & cond
+    cutoff = done.select(*cs, F.col("_cut1").bitwiseXOR(low).alias("_cut1"), F.col("_cut2").bitwiseXOR(low).alias("_cut2"), "_all")
     beyond = F.col("_all") | (F.col("_k1") > F.col("_cut1")) | ((F.col("_k1") == F.col("_cut1")) & (F.col("_k2") > F.col("_cut2")))
-    return base.join(cutoff, match).where(beyond).select(*df.columns)
+    return base.join(cutoff, cs).where(beyond).select("_row.*")

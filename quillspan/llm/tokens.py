@@ -29,10 +29,10 @@ def encoder(path: str):
 def token_sizes(df: DataFrame, text: str, path: str = TOKENIZER) -> DataFrame:
     """df with the column text replaced by n_tokens, its size in tokens; rows with a null text are left out.
 
-    An empty text has 0 tokens. Special tokens' strings count as ordinary text. No shuffle.
+    A column n_tokens that df has is replaced; all others stay. An empty text has 0 tokens. Special tokens' strings count as ordinary text. No shuffle.
     """
-    others = [c for c in df.columns if c != text]
-    fields = [f"`{c}` {t}" for c, t in df.dtypes if c != text]
+    others = [c for c in df.columns if c not in (text, "n_tokens")]
+    fields = [f"`{c}` {t}" for c, t in df.dtypes if c in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -40,4 +40,4 @@ def token_sizes(df: DataFrame, text: str, path: str = TOKENIZER) -> DataFrame:
             sizes = [len(e.encode_ordinary(t)) for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(sizes, pa.int64())], names=[*others, "n_tokens"])
 
-    return df.where(F.col(text).isNotNull()).mapInArrow(run, ", ".join([*fields, "n_tokens bigint"]))
+    return df.where(F.col(text).isNotNull()).select(*others, text).mapInArrow(run, ", ".join([*fields, "n_tokens bigint"]))
