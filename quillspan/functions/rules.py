@@ -54,3 +54,20 @@ def keyword_scores(text: Column, categories: Mapping[str, Sequence[str]]) -> Col
 def effective_source(source: Column, title: Column, prefix: str) -> Column:
     """The publisher a headline ends with, where the source is only an aggregator whose name begins with prefix."""
     return F.when(F.startswith(source, F.lit(prefix)) & F.contains(title, F.lit(" - ")), F.trim(F.substring_index(title, " - ", -1))).otherwise(source)
+
+
+def trusted(kind: Column, tags: Column, aggregator: str, tag: str) -> Column:
+    """Whether a record doesn't come from an aggregator, or its source bears the tag."""
+    return (F.coalesce(kind, F.lit("")) != aggregator) | F.coalesce(F.array_contains(tags, tag), F.lit(False))
+
+
+def broad_discovery(kind: Column, source: Column, tags: Column, aggregator: str, prefix: str, tag: str) -> Column:
+    """Whether a record was only found by an aggregator's broad search."""
+    return (kind == aggregator) & F.startswith(source, F.lit(prefix)) & ~F.coalesce(F.array_contains(tags, tag), F.lit(False))
+
+
+def section_matches(section: str, category: Column, preferred: Column) -> Column:
+    """Whether a record may stand in a section: general takes preferred research too, others their own category."""
+    if section == "general_ai":
+        return (category == "general_ai") | ((category == "research") & preferred)
+    return category == section

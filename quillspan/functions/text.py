@@ -130,3 +130,29 @@ def py_round(c: Column, digits: int) -> Column:
         return s.map(lambda x: round(x, digits), na_action="ignore")
 
     return run(c)
+
+
+def escape_html(c: Column) -> Column:
+    """Markup characters and both quotes as references."""
+    out = F.coalesce(c, F.lit(""))
+    for raw, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(raw), F.lit(ref))
+    return out
+
+
+def blank_if(c: Column, terms: Sequence[str]) -> Column:
+    """Empty where a term of boilerplate occurs."""
+    return F.when(has_any(c, terms), "").otherwise(c)
+
+
+def json_array(c: Column, item: str) -> Column:
+    """An array of items (a DDL type) from JSON that may stand in a fenced code block; null if unreadable."""
+    return F.from_json(F.trim(F.regexp_replace(c, r"^\s*```(?:json)?\s*|\s*```\s*$", "")), f"array<{item}>")
+
+
+def inline_markdown(c: Column) -> Column:
+    """Links, code and bold of a Markdown line as HTML; other markup is escaped."""
+    out = escape_html(c)
+    out = F.regexp_replace(out, r"\[([^\]]+)\]\((https?://[^)\s]+)\)", '<a href="$2">$1</a>')
+    out = F.regexp_replace(out, "`([^`]+)`", "<code>$1</code>")
+    return F.regexp_replace(out, r"\*\*(.+?)\*\*", "<strong>$1</strong>")

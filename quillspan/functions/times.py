@@ -64,3 +64,18 @@ def activity(end: Column, *days: Column) -> Column:
     first = F.coalesce(*[F.when(d != "", d) for d in days])
     age = F.datediff(end, F.try_to_date(F.substring(first, 1, 10), "yyyy-MM-dd"))  # below 0 for later days, which count as new
     return F.when(age.isNull(), 0.0).when(age <= 7, 1.0).when(age <= 30, 0.7).when(age <= 90, 0.4).otherwise(0.1)
+
+
+def long_date(d: Column) -> Column:
+    return F.date_format(d, "EEEE, MMMM dd, yyyy")
+
+
+def widened(hours: Column, kind: Column, category: Column, matches: Column, ai: Column, wide: int) -> Column:
+    """The wider window for records of searched sites whose words fit engineering though their source doesn't."""
+    fits = (kind == "sitemap_or_search") & (F.coalesce(category, F.lit("")) != "engineering_ai") & matches & ai
+    return F.when(fits, F.lit(wide)).otherwise(hours)
+
+
+def is_weekday(d: Column, weekday: int) -> Column:
+    """Whether a day is the given one, 0 for Monday."""
+    return F.weekday(d) == weekday

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.operators.events import BUILDER, Variant, repeats_of, same_event, same_event_pairs
-from quillspan.session import scratch
+from quillspan.session import cut, scratch
 
 #: Published rows of a lookback that may be broadcast.
 BROADCAST_ROWS = 10_000
@@ -72,3 +72,24 @@ def duplicate_problems(items: DataFrame, ident: str, day: str, lookback_days: in
     within = pairs.select(F.col("left").alias(ident), F.col("right").alias("other"), F.lit("issue").alias("kind"))
     past = repeats_of(items, items, ident, day, lookback_days, variant)
     return within.union(past.select(ident, F.col("earlier").alias("other"), F.lit("history").alias("kind")))
+
+
+def without_earlier_sections(items: DataFrame, ident: str, group: list[str], section_ord: str, variant: Variant = BUILDER) -> DataFrame:
+    """The records that tell of no event which a record kept in an earlier section of their group tells of.
+
+    Sections are gone through in order, so a record left out of one keeps nothing out of the next; one round
+    for each section. items comes from event_columns and has one row per ident.
+    """
+    orders = [r[0] for r in items.select(section_ord).distinct().orderBy(section_ord).collect()]  # one a section
+    pairs = cut(same_event_pairs(items.select(*group, ident, "_tok", "_url", "_key", "_src"), ident, group, variant).select("left", "right"))
+    both = pairs.union(pairs.select("right", "left")).toDF("mine", "other")
+    kept = items.where(F.col(section_ord) == orders[0]) if orders else items
+    for o in orders[1:]:
+        hit = both.join(kept.select(F.col(ident).alias("other")), "other", "left_semi").select(F.col("mine").alias(ident))
+        kept = cut(kept.union(items.where(F.col(section_ord) == o).join(hit, ident, "left_anti").select(*items.columns)))
+    return kept
+
+
+def issues(spark: SparkSession, path: str, day: str = "issue_date") -> DataFrame:
+    """The days of a partitioned table of issues, newest first; read from its folders' names."""
+    return spark.read.parquet(path).select(day).distinct().orderBy(F.col(day).desc())

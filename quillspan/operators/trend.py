@@ -95,3 +95,14 @@ def author_rollup(ranked: DataFrame) -> DataFrame:
         F.count("*").alias("appearances"),
         F.array_join(F.slice(F.array_sort(F.collect_set("category")), 1, 3), ", ").alias("categories"),
     )
+
+
+def growth_hint(stars: Column, ordinal: Column) -> Column:
+    """An assumed growth of sample rows: a part of the stars that varies with the ordinal, 6 at least."""
+    return F.greatest(F.lit(6), F.floor(stars * (F.lit(0.01) + (ordinal % 5) * F.lit(0.004)))).cast("long")
+
+
+def latest_first_delivered(rows: DataFrame, key: Column) -> DataFrame:
+    """Per key the row of its latest date; of several of that date the first delivered."""
+    best = rows.groupBy(key.alias("_k")).agg(F.max_by(F.struct(*rows.columns), F.struct("snapshot_date", -F.col("ingest_ord"))).alias("r"))
+    return best.select("r.*")

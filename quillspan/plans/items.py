@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import scores as sc
 from quillspan.functions import text as tx
-from quillspan.functions.rules import any_word, effective_source, first_rule
-from quillspan.functions.times import recency
+from quillspan.functions.rules import any_word, effective_source, first_rule, section_matches, trusted
+from quillspan.functions.times import long_date, recency, widened
+from quillspan.functions.urls import part
 from quillspan.operators import events as ev
 from quillspan.operators.dedup import first_rows, first_wins
-from quillspan.operators.publish import calendar_pages, duplicate_problems, published_index, quality_problems
+from quillspan.operators.publish import calendar_pages, duplicate_problems, published_index, quality_problems, without_earlier_sections
 from quillspan.operators.selection import Pass, select_greedily
+from quillspan.operators.trend import growth_hint, latest_first_delivered
 from quillspan.plans.scalars import _HOURS_SQL, NOW, PUBLISHERS, hours_of, log_sql, tokens_sql
-from quillspan.session import table
+from quillspan.session import cut, table
+from quillspan.sources.feeds import page_links
 from quillspan.sources.registry import canonical_category
 
 QUERIES, SQL = {}, {}
@@ -298,8 +301,6 @@ def q41_select_bio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q42_published_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, passes = _section(_selectable(spark, sf_dir), "general", 2, 2, False)
     cols = ["cand_id", "issue_date", "score", "_tok", "_url", "_key", "_src", "topic", "broad", "first", "second", "third"]
-    from quillspan.session import cut
-
     return published_index(cut(df.where("third").select(*cols)), "issue_date", "cand_id", lambda day: _select(day, passes, 10)).select("issue_date", "cand_id", "place")
 
 
@@ -413,4 +414,71 @@ def q54_ranked_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["q54_ranked_audit"] = "SELECT cand_id, new_score, row_number() OVER (ORDER BY new_score DESC, cand_id) AS place FROM (" + SQL["q33_candidate_score"] + ") QUALIFY place <= 100"
 
+def q55_window_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = widened(hours_of(F.col("category")), F.col("source_kind"), F.col("category"), tx.has_any(all_text(), ENGINEERING), tx.has_any(all_text(), AI), 720)
+    return table(spark, sf_dir, "candidates").select("cand_id", h.alias("hours"))
+
+
+SQL["q55_window_widened"] = T + f"SELECT cand_id, CASE WHEN source_kind = 'sitemap_or_search' AND coalesce(category, '') <> 'engineering_ai' AND {_any(ENGINEERING)} AND {_any(AI)} THEN 720 ELSE {_HOURS_SQL} END AS hours FROM c"
+
+
+def q56_section_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    preferred = F.coalesce("source_priority", F.lit("")) == "high"
+    ok = trusted(F.col("source_kind"), F.col("source_tags"), "google_news_rss", "trusted_discovery")
+    return table(spark, sf_dir, "candidates").where(section_matches("general_ai", F.col("category"), preferred) & ok).select("cand_id")
+
+
+SQL["q56_section_match"] = """SELECT cand_id FROM candidates WHERE (category = 'general_ai' OR (category = 'research' AND coalesce(source_priority, '') = 'high'))
+AND (coalesce(source_kind, '') <> 'google_news_rss' OR coalesce(list_contains(source_tags, 'trusted_discovery'), false))"""
+
+
+def q57_section_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the audit lists whose event no kept record of an earlier section of the issue tells of."""
+    place = F.when(F.col("category") == "engineering_ai", 1).when(F.col("category") == "research", 2).otherwise(0)
+    e = _event_items(_audit(spark, sf_dir)).withColumn("section_ord", place)
+    return without_earlier_sections(e, "cand_id", ["issue_date"], "section_ord").select("issue_date", "cand_id", "section_ord")
+
+
+_SECTION_E = _AE.replace("SELECT cand_id, issue_date,", "SELECT cand_id, issue_date, CASE category WHEN 'engineering_ai' THEN 1 WHEN 'research' THEN 2 ELSE 0 END AS o,")
+SQL["q57_section_overlap"] = f"""WITH {AUDIT}, {_SECTION_E},
+p AS (SELECT a.cand_id AS x, b.cand_id AS y, a.o AS ao, b.o AS bo FROM e a JOIN e b ON a.issue_date = b.issue_date AND b.o < a.o WHERE (a.u <> '' AND a.u = b.u) OR a.k = b.k
+ OR (len(list_intersect(a.tok, b.tok)) >= 5 AND len(list_intersect(a.tok, b.tok)) >= 0.5 * least(len(a.tok), len(b.tok)))
+ OR (len(list_intersect(a.tok, b.tok)) >= 4 AND len(list_intersect(a.tok, b.tok)) >= 0.42 * (len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok))))
+ OR (a.src = b.src AND len(list_intersect(a.tok, b.tok)) >= 2 AND len(list_intersect(a.tok, b.tok)) >= 0.67 * least(len(a.tok), len(b.tok)))),
+k1 AS (SELECT * FROM e WHERE o = 1 AND cand_id NOT IN (SELECT x FROM p WHERE bo = 0)),
+k2 AS (SELECT * FROM e WHERE o = 2 AND cand_id NOT IN (SELECT x FROM p WHERE bo = 0 OR y IN (SELECT cand_id FROM k1)))
+SELECT issue_date, cand_id, o AS section_ord FROM e WHERE o = 0 UNION ALL SELECT issue_date, cand_id, o FROM k1 UNION ALL SELECT issue_date, cand_id, o FROM k2"""
+
+
+def q58_shown_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = tx.escape_html(F.concat(F.lit("<i>\"'"), "title"))
+    return table(spark, sf_dir, "documents").where("published_at IS NOT NULL").select("doc_id", long_date(F.col("published_at")).alias("day"), title.alias("title"), tx.blank_if(F.col("text"), ["licence", "pricing"]).alias("text"))
+
+
+SQL["q58_shown_line"] = """
+WITH d AS (SELECT doc_id, published_at, text, '<i>' || chr(34) || chr(39) || title AS title FROM documents WHERE published_at IS NOT NULL)
+SELECT doc_id, strftime(published_at, '%A, %B %d, %Y') AS day, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS title,
+CASE WHEN contains(lower(text), 'licence') OR contains(lower(text), 'pricing') THEN '' ELSE text END AS text FROM d"""
+
+
+def q59_latest_first_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "repo_snapshots").where("full_name IS NOT NULL AND snapshot_date IS NOT NULL").select("snapshot_date", "ingest_ord", "full_name", "stars")
+    return latest_first_delivered(rows, F.lower("full_name")).select("ingest_ord", growth_hint(F.coalesce("stars", F.lit(0)), F.col("ingest_ord")).alias("hint"))
+
+
+SQL["q59_latest_first_delivered"] = """SELECT ingest_ord, greatest(6, floor(coalesce(stars, 0) * (0.01::DOUBLE + (ingest_ord % 5) * 0.004::DOUBLE)))::BIGINT AS hint FROM repo_snapshots
+WHERE full_name IS NOT NULL AND snapshot_date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(full_name) ORDER BY snapshot_date DESC, ingest_ord) = 1"""
+
+
+def q47_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages that stay on their site; each record's address, a bare link and a foreign one make a page."""
+    base = F.concat(part(F.col("url"), 1), F.lit("://"), part(F.col("url"), 2), F.lit("/"))
+    html = F.concat(F.lit("<a class='t' href=\""), "url", F.lit('">'), "title", F.lit("</a><a href='/x-y'>go</a><a href='https://elsewhere.example/'>Another page's title</a>"))
+    pages = table(spark, sf_dir, "incoming_candidates").where("url IS NOT NULL").select(F.col("rec_id").cast("string").alias("source"), base.alias("base_url"), html.alias("payload"))
+    return page_links(pages).select(F.col("source").cast("long").alias("rec_id"), "rec_ord", "title", "url")
+
+
+SQL["q47_page_links"] = r"""WITH p AS (SELECT rec_id, title, regexp_replace(url, '#.*$', '') AS url, regexp_extract(url, '^([^:/?#]+://[^/?#]+)', 1) AS base FROM incoming_candidates WHERE url IS NOT NULL)
+SELECT rec_id, 0 AS rec_ord, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, url FROM p UNION ALL SELECT rec_id, 1, 'X Y', base || '/x-y' FROM p"""
+
 QUERIES.update({k: v for k, v in list(globals().items()) if k.startswith("q") and k[1:3].isdigit()})

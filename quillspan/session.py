@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,16 +29,20 @@ def local_session(app: str = "quillspan", cores: int | str = 8, shuffle_partitio
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) is a temporary one made, and set as checkpoint
-    directory so that it is made once.
+    Only where the session names none and runs locally (tests) is a temporary one made, and set as
+    checkpoint directory so that it is made once. On a cluster a folder must be named.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     now = jsc.getCheckpointDir()
+    if named:
+        if not now.isDefined():
+            spark.sparkContext.setCheckpointDir(named)
+        return named.rstrip("/")
     if now.isDefined():
         return now.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 

@@ -87,3 +87,14 @@ def test_scores_and_rules(spark):
     got = value(spark, rules.keyword_scores(x, {"p": ["agent"], "q": ["mesh grid", "mesh"], "r": ["zz"]}), x="agent mesh grid")
     assert [(r["category"], -r["neg"]) for r in got] == [("q", 3), ("p", 1)]
     assert value(spark, rules.effective_source(F.lit("Wire News x"), x, "Wire News"), x="A - B - Paper") == "Paper"
+
+
+def test_markup_and_sections(spark):
+    x = F.col("x")
+    assert value(spark, text.inline_markdown(x), x="a <b> **c** `d` [e](https://f.example/g)") == 'a &lt;b&gt; <strong>c</strong> <code>d</code> <a href="https://f.example/g">e</a>'
+    assert [r["s"] for r in value(spark, text.json_array(x, "struct<s:string>"), x='```json\n[{"s": "one"}, {"s": "two"}]\n```')] == ["one", "two"]
+    assert value(spark, text.json_array(x, "struct<s:string>"), x="oops") in (None, [])
+    assert value(spark, text.blank_if(x, ["placeholder"]), x="A Placeholder text") == ""
+    assert value(spark, times.is_weekday(F.lit(date(2026, 7, 10)), 4), y=1.0) is True
+    assert value(spark, rules.broad_discovery(F.lit("agg"), x, F.array(F.lit("t")), "agg", "Wire", "other"), x="Wire 7") is True
+    assert value(spark, rules.section_matches("engineering_ai", x, F.lit(True)), x="research") is False

@@ -105,3 +105,14 @@ def test_streaming_ingest_adds_each_record_once(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(str(r["start"]), r["kind"], r["n"]) for r in spark.table("counts").collect()} == {("2026-01-01 00:00:00", "x", 1), ("2026-01-01 00:00:00", "y", 1), ("2026-01-02 00:00:00", "x", 2)}
+
+
+def test_discovery_and_caps(spark):
+    assert spark.range(1).select(feeds.sitemap_addresses(F.lit("https://a.example/news/")).alias("s")).first()["s"] == ["https://a.example/sitemap.xml", "https://a.example/news/sitemap.xml"]
+    assert spark.range(1).select(feeds.sitemap_addresses(F.lit("nowhere")).alias("s")).first()["s"] == []
+    one = feeds.sitemap(payload(spark, "<urlset><url><loc>https://a.example/one-page?utm_source=x</loc></url></urlset>"))
+    two = feeds.page_links(payload(spark, '<a href="/one-page">The very same page</a><a href="/two-page">Another page again</a>', base_url="https://a.example/"))
+    assert [r["title"] for r in feeds.discover(one, two).orderBy("url").collect()] == ["One Page", "Another page again"]
+    records = spark.createDataFrame([("a", i) for i in range(5)] + [("b", i) for i in range(5)], "source string, rec_ord int")
+    caps = spark.createDataFrame([("a", "rss", 2), ("b", "sitemap_or_search", 2)], "name string, kind string, max_entries int")
+    assert {(r["source"], r["n"]) for r in feeds.capped(records, caps).groupBy("source").agg(F.count("*").alias("n")).collect()} == {("a", 2), ("b", 5)}
