@@ -25,12 +25,15 @@ def last_wins(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
     return best.select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
-def first_rows(df: DataFrame, group: list[str], order: list[Column], n: Column | int) -> DataFrame:
+def first_rows(df: DataFrame, group: list[str], order: list[Column], n: Column | int, bound: int | None = None) -> DataFrame:
     """The first n rows of each group in order, with their place from 1.
 
-    For a constant n Spark keeps n rows a group before the shuffle (WindowGroupLimit).
+    For a constant n Spark keeps n rows a group and partition before the shuffle (WindowGroupLimit), so a group
+    with a third of all rows isn't sorted in one task. Where n is a column, bound, its greatest value, does that.
     """
     placed = df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    if bound is not None:
+        placed = placed.where(F.col("place") <= bound)
     return placed.where(F.col("place") <= n)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.scores import TREND, safe_norm
 from quillspan.functions.times import activity
+from quillspan.session import cut
 
 CARRIED = ("full_name", "author", "category", "matched_categories", "language", "pushed_at", "last_update", "stars_gained_hint", "forks_gained_hint", "source")
 
@@ -48,16 +49,20 @@ def growth(rows: DataFrame, start: date, end: date) -> DataFrame:
 
 
 def rank(rows: DataFrame, start: date, end: date) -> DataFrame:
-    """growth with recent_activity and trend_score; maxima are one broadcast row."""
-    g = growth(rows, start, end).withColumn("recent_activity", activity(F.lit(end), F.col("pushed_at"), F.col("last_update"), F.col("snapshot_date").cast("string")))
-    most = g.agg(*[F.coalesce(F.max(c), F.lit(1)).alias(f"most_{n}") for c, n in (("stars_gained", "growth"), ("stars", "stars"), ("forks_gained", "forks"))])
+    """growth with recent_activity and trend_score.
+
+    The growth rows, one a repository, are kept in the shared folder: they are read for the maxima, one row
+    that becomes constants, and again for the scores, and the snapshots are scanned once.
+    """
+    g = cut(growth(rows, start, end).withColumn("recent_activity", activity(F.lit(end), F.col("pushed_at"), F.col("last_update"), F.col("snapshot_date").cast("string"))))
+    most = g.agg(*[F.coalesce(F.max(c), F.lit(1)).alias(c) for c in ("stars_gained", "stars", "forks_gained")]).first()
     score = (
-        TREND["growth"] * safe_norm(F.col("stars_gained"), F.col("most_growth"))
-        + TREND["stars"] * safe_norm(F.col("stars"), F.col("most_stars"))
+        TREND["growth"] * safe_norm(F.col("stars_gained"), F.lit(most["stars_gained"]))
+        + TREND["stars"] * safe_norm(F.col("stars"), F.lit(most["stars"]))
         + TREND["activity"] * F.col("recent_activity")
-        + TREND["forks"] * safe_norm(F.col("forks_gained"), F.col("most_forks"))
+        + TREND["forks"] * safe_norm(F.col("forks_gained"), F.lit(most["forks_gained"]))
     )
-    return g.crossJoin(F.broadcast(most)).withColumn("trend_score", F.round(score, 4)).drop("most_growth", "most_stars", "most_forks")
+    return g.withColumn("trend_score", F.round(score, 4))
 
 
 def top(ranked: DataFrame, order: list[Column], n: int) -> DataFrame:

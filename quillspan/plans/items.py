@@ -199,7 +199,8 @@ SQL["q34_first_wins_dedup"] = "SELECT issue_date, min(cand_id) AS cand_id FROM c
 def q35_source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "raw_candidates").select("rec_id", "source")
     caps = table(spark, sf_dir, "sources").select(F.col("name").alias("source"), F.coalesce("max_entries", F.lit(25)).alias("most"))
-    return first_rows(raw.join(caps, "source"), ["source"], [F.col("rec_id")], F.col("most")).select("source", "rec_id", "place")
+    bound = caps.agg(F.max("most")).first()[0]
+    return first_rows(raw.join(caps, "source"), ["source"], [F.col("rec_id")], F.col("most"), bound).select("source", "rec_id", "place")
 
 
 SQL["q35_source_cap"] = """SELECT r.source, r.rec_id, row_number() OVER (PARTITION BY r.source ORDER BY r.rec_id) AS place FROM raw_candidates r
@@ -344,10 +345,9 @@ def q46_paper_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.lower(F.concat_ws(" ", "title", "text"))
     day = F.to_date("published_at")
     fit = d.where(body.rlike("mesh|simulation|casting|turbine") & body.rlike("model|agent|neural") & ~body.rlike("licence")).select("doc_id", day.alias("day"), tx.slug(F.col("title")).alias("key"))
-    last = fit.agg(F.max("day").alias("issue"))
-    rows = fit.crossJoin(F.broadcast(last))
-    new = rows.where(F.col("day").between(F.date_sub("issue", 8), F.col("issue")))
-    old = rows.where((F.col("day") < F.date_sub("issue", 8)) & (F.col("day") >= F.date_sub("issue", 68)))
+    issue = F.lit(fit.agg(F.max("day")).first()[0]).cast("date")
+    new = fit.where(F.col("day").between(F.date_sub(issue, 8), issue))
+    old = fit.where((F.col("day") < F.date_sub(issue, 8)) & (F.col("day") >= F.date_sub(issue, 68)))
     return first_wins(new.join(old.select("key"), "key", "left_anti").select("doc_id", "day", "key"), [F.col("key")], ["doc_id"]).select("doc_id", "day")
 
 
