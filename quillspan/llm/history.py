@@ -248,7 +248,7 @@ class History:
             keys.append("salt")
         found = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_search, MATCH_SQL)
         old, new = F.when(F.col("of").isNotNull(), F.struct("batch", "of")), F.when(F.col("own").isNotNull(), F.struct("own_batch", "own"))
-        near = found.groupBy("rec").agg(F.min(old).alias("old"), F.min(new).alias("new")).select("rec", "old.of", F.col("new.own").alias("own"))
+        near = cut(found.groupBy("rec").agg(F.min(old).alias("old"), F.min(new).alias("new")).select("rec", "old.of", F.col("new.own").alias("own")))
         # A record like an accepted one repeats that; else one whose earliest like record in the batch is like none
         # itself, and so accepted, repeats it. One whose like record repeats another is looked at again without it.
         told = cut(near.join(near.select(F.col("rec").alias("own"), F.lit(True).alias("again")), "own", "left").select("rec", "of", "own", (F.col("of").isNull() & F.col("again").isNotNull()).alias("open")))
