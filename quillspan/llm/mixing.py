@@ -89,6 +89,6 @@ def mixture(df: DataFrame, targets: DataFrame, ident: str, source: str, size: st
     per_document = mix.groupBy("source", ident).agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("n"))
     reached = per_document.groupBy("source").agg(F.count("*").alias("documents"), F.sum("uses").alias("uses"), F.max("uses").alias("most_repeats"), F.sum("n").alias("n_tokens"))
     report = targets.where("source IS NOT NULL").select("source", "target_share").join(reached, "source", "left").fillna(0, ["documents", "uses", "most_repeats", "n_tokens"])
-    all_tokens = report.agg(F.sum("n_tokens").alias("_all"))  # one row
-    shares = report.crossJoin(F.broadcast(all_tokens)).withColumn("actual_share", F.coalesce(F.try_divide("n_tokens", "_all"), F.lit(0.0))).drop("_all")
+    whole_size = F.sum("n_tokens").over(Window.partitionBy())  # over one row per target
+    shares = report.withColumn("actual_share", F.coalesce(F.try_divide(F.col("n_tokens"), whole_size), F.lit(0.0)))
     return mix, shares
