@@ -34,11 +34,13 @@ def tzdata_version() -> str:
 
 @lru_cache(maxsize=1024)
 def resolve(name: str) -> str | None:
-    """The zone of a name in any letter case, or None."""
+    """The zone of a name in any letter case, or None. A machine without zone rules is an error, not None."""
     try:
         zoneinfo.ZoneInfo(name)
         return name
     except (KeyError, ValueError, OSError):
+        if not _by_lower():
+            raise RuntimeError("no zone rules are installed here: add the tzdata package or the system's") from None
         return _by_lower().get(name.lower())
 
 
