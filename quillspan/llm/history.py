@@ -21,6 +21,7 @@ TRACKING = {"fbclid", "gclid", "mc_cid", "mc_eid", "ref"}
 #: Two titles are alike from this share of their words on (as a fraction), published this near.
 SHARE = (7, 10)
 NEAR_US = 72 * 3600 * 1_000_000
+SPAN_US = 2 * NEAR_US
 #: The most frequent words of the first history that are placed last in a title; bounds what is broadcast.
 COMMON = 4096
 #: Records of one step within a batch, and queries a task takes for one shard.
@@ -65,8 +66,9 @@ def _postings(rank: dict[str, int], shards: int, query: bool):
 
     The text of a record is its page key, and the words of its title after its numbers and its time span. A
     suffix begins at a word; those that begin in the first n - ceil(0.7 n) + 1 of n words are enough, since
-    two sets with 70 % of their union in common, both in one order, share a word within these. A query looks
-    at its own time span, which is its home, and those beside it.
+    two sets with 70 % of their union in common, both in one order, share a word within these. A time span is
+    twice as long as titles may lie apart, so a query looks at two: that of the earliest and that of the latest
+    time it may match, one of which is its own, its home.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,10 +84,11 @@ def _postings(rank: dict[str, int], shards: int, query: bool):
                 words = ordered_words(title, rank)
                 n = len(words)
                 numbers = ",".join(sorted(set(NUMBERS.findall(title))))
-                span = at // NEAR_US
+                span = at // SPAN_US
+                asked = sorted({(at - NEAR_US) // SPAN_US, span, (at + NEAR_US) // SPAN_US}) if query else [span]
                 for i in range(n - (n * SHARE[0] + SHARE[1] - 1) // SHARE[1] + 1 if n else 0):
                     tail = " ".join(words[i:]) + " "
-                    for s in (span - 1, span, span + 1) if query else (span,):
+                    for s in asked:
                         head = f"{numbers}\x01{s}\x01"
                         out.append((_shard(f"{head}{words[i]}", shards), s == span, head + tail, batch, rec, n, at))
             if out:
@@ -118,14 +121,20 @@ class Segment:
         text, batch, rec, n, at = unpack(blob)
         return Segment(text.tobytes().decode("utf-8", "surrogatepass").split("\n"), undelta(batch), undelta(rec), n, undelta(at))
 
-    def find(self, text: str) -> tuple[int, int]:
-        """The interval of suffixes that share the beginning: all of a page key, or up to the first word's end."""
-        if text[0] == "\x02":
-            lo = bisect_left(self.texts, text)
-            return lo, bisect_left(self.texts, text + "\x00", lo)
-        start = text[: text.index(" ") + 1]
+    def find(self, start: str, stop: str) -> tuple[int, int]:
+        """The interval of suffixes from start on and before stop."""
         lo = bisect_left(self.texts, start)
-        return (lo, bisect_left(self.texts, start[:-1] + "!", lo)) if lo < len(self.texts) and self.texts[lo].startswith(start) else (lo, lo)
+        if lo == len(self.texts) or self.texts[lo] >= stop:
+            return lo, lo
+        return lo, bisect_left(self.texts, stop, lo)
+
+
+def _bounds(text: str) -> tuple[str, str]:
+    """Between what suffixes lie that share the beginning: all of a page key, or up to the first word's end."""
+    if text[0] == "\x02":
+        return text, text + "\x00"
+    start = text[: text.index(" ") + 1]
+    return start, start[:-1] + "!"
 
 
 def _arrays(t: pa.Table) -> tuple:
@@ -150,11 +159,8 @@ def _covered(tail: str, other: str) -> int:
     return len(set(tail.split()) & set(other.split()))
 
 
-def _matches(s: Segment, text: str, batch: int, rec: int, n: int, at: int, earlier_only: bool, best: tuple[int, int] | None) -> tuple[int, int] | None:
-    """The earliest record of one segment that a query repeats, if it is earlier than best."""
-    lo, hi = s.find(text)
-    if lo == hi:
-        return best
+def _matches(s: Segment, lo: int, hi: int, text: str, batch: int, rec: int, n: int, at: int, earlier_only: bool, best: tuple[int, int] | None) -> tuple[int, int] | None:
+    """The earliest record of an interval of a segment that a query repeats, if it is earlier than best."""
     near = np.arange(lo, hi)
     page = text[0] == "\x02"
     if not page:
@@ -187,8 +193,11 @@ def _search(index: pa.Table, queries: pa.Table) -> pa.Table:
         asked = queries.filter(queries.column("asks")) if "asks" in queries.column_names else queries
         for text, batch, rec, n, at in zip(*_arrays(asked), strict=True):
             best: list[tuple[int, int] | None] = [None, None]
+            start, stop = _bounds(text)
             for own, s in segments:
-                best[own] = _matches(s, text, int(batch), int(rec), int(n), int(at), bool(own), best[own])
+                lo, hi = s.find(start, stop)
+                if lo < hi and not (own and hi == lo + 1 and s.rec[lo] == rec):
+                    best[own] = _matches(s, lo, hi, text, int(batch), int(rec), int(n), int(at), bool(own), best[own])
             if best != [None, None]:
                 found.append((int(rec), *(best[0] or (None, None)), *(best[1] or (None, None))))
     cols = list(zip(*found, strict=True)) if found else [[] for _ in range(5)]

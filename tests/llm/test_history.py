@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from quillspan.llm import history
-from quillspan.llm.history import Segment, page_key, repeats_of_history
+from quillspan.llm.history import Segment, _bounds, page_key, repeats_of_history
 
 T0 = datetime(2026, 1, 1)
 
@@ -63,9 +63,9 @@ def test_segment_finds_its_suffixes():
     texts = ["1\x012\x01ab cd ", "1\x012\x01abc ", "1\x012\x01ab ", "\x02a/b?", "\x02a/b?c", "1\x013\x01ab "]
     z = np.arange(len(texts))
     s = Segment.read(Segment.of(texts, z, z, z.astype(np.int32), z).blob())
-    assert [s.texts[k] for k in range(*s.find("1\x012\x01ab zz "))] == ["1\x012\x01ab ", "1\x012\x01ab cd "]
-    assert [s.texts[k] for k in range(*s.find("\x02a/b?"))] == ["\x02a/b?"]
-    lo, hi = s.find("1\x014\x01ab ")
+    assert [s.texts[k] for k in range(*s.find(*_bounds("1\x012\x01ab zz ")))] == ["1\x012\x01ab ", "1\x012\x01ab cd "]
+    assert [s.texts[k] for k in range(*s.find(*_bounds("\x02a/b?")))] == ["\x02a/b?"]
+    lo, hi = s.find(*_bounds("1\x014\x01ab "))
     assert lo == hi
 
 
