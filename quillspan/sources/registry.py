@@ -18,7 +18,16 @@ SCHEMA = T.StructType(
 )
 #: Source types that are only searched for, and the priorities of an older registry's reach.
 SEARCHED = ("manual", "newsletter", "linkedin_manual", "x_api", "github", "arxiv")
-REACH = {"very_high": "high", "high": "high", "medium": "medium", "low": "low"}
+REACH = {
+    "tier_1_global": "high",
+    "tier_2_tech": "high",
+    "company_blog": "medium",
+    "research_lab": "medium",
+    "community": "low",
+    "cae_industry": "medium",
+    "linkedin_public": "low",
+    "curated_newsletter": "medium",
+}
 KEPT_CATEGORIES = ("research", "startup", "vendor", "community")
 
 
@@ -65,5 +74,10 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_legacy(rows: DataFrame) -> DataFrame:
-    """Rows of the older form (reach instead of priority) in the present one."""
-    return rows.withColumn("priority", F.coalesce("priority", mapped(F.col("reach"), REACH, "medium"))).withColumn("category", F.when(F.col("category") == "cae_ai_engineering", "engineering_ai").otherwise(F.col("category"))).drop("reach")
+    """Rows of the older form (name, url, kind, reach, category) in the present one: all enabled, without tags."""
+    return rows.select(
+        "name", "url", F.coalesce("kind", F.lit("manual")).alias("source_type"),
+        F.when(F.col("category") == "cae_ai_engineering", "engineering_ai").otherwise(F.coalesce("category", F.lit("general_ai"))).alias("category"),
+        mapped(F.col("reach"), REACH, "medium").alias("priority"), F.array().cast("array<string>").alias("tags"), F.lit("Taken over from the older registry").alias("notes"), F.lit(True).alias("enabled"),
+        F.coalesce("kind", F.lit("web_search_query")).alias("fetch_type"), F.lit(None).cast("string").alias("query"), F.lit(None).cast("int").alias("max_entries"),
+    )

@@ -72,8 +72,10 @@ def test_registry(spark, tmp_path):
     f.write_text(json.dumps({"sources": [{"name": "N", "url": "https://example.com/x", "source_type": "website", "category": "cae_ai_engineering"}, {"name": "Off", "enabled": False}]}))
     r = registry.normalised(registry.load(spark, str(f))).collect()
     assert [(x["name"], x["kind"], x["query"], x["priority"], x["max_entries"], x["category"], x["tags"], x["src_ord"]) for x in r] == [("N", "sitemap_or_search", "site:example.com AI", "medium", 25, "engineering_ai", [], 0)]
-    old = spark.createDataFrame([("very_high", None, "x"), ("odd", None, "cae_ai_engineering")], "reach string, priority string, category string")
-    assert [tuple(x) for x in registry.from_legacy(old).collect()] == [("high", "x"), ("medium", "engineering_ai")]
+    old = spark.createDataFrame([("A", "https://a.example/", "rss", "tier_1_global", "x"), ("B", "https://b.example/", None, "odd", "cae_ai_engineering"), ("C", "https://c.example/", None, "community", None)], "name string, url string, kind string, reach string, category string")
+    got = registry.from_legacy(old)
+    assert [(x["priority"], x["category"], x["source_type"], x["fetch_type"]) for x in got.collect()] == [("high", "x", "rss", "rss"), ("medium", "engineering_ai", "manual", "web_search_query"), ("low", "general_ai", "manual", "web_search_query")]
+    assert [x["kind"] for x in registry.normalised(got).collect()] == ["rss", "web_search_query", "web_search_query"]
 
 
 def test_sinks(spark, tmp_path):
