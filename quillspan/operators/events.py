@@ -37,12 +37,16 @@ def event_columns(df: DataFrame, title: str, url: str, source: str, rules: Seque
 def same_event(a: str, b: str, variant: Variant = BUILDER) -> Column:
     """Whether two aliased sides of event_columns tell of one event."""
     x, y = F.col(f"{a}._tok"), F.col(f"{b}._tok")
-    both = F.size(F.array_intersect(x, y))
     smaller = F.least(F.size(x), F.size(y))
-    either = F.size(x) + F.size(y) - both
-    words = ((both >= OF_SMALLER[0]) & (both >= OF_SMALLER[1] * smaller)) | ((both >= OF_UNION[0]) & (both >= OF_UNION[1] * either))
-    if variant.same_source:
-        words = words | ((F.col(f"{a}._src") == F.col(f"{b}._src")) & (both >= SAME_SOURCE[0]) & (both >= SAME_SOURCE[1] * smaller))
+
+    def by_words(both: Column) -> Column:
+        either = F.size(x) + F.size(y) - both
+        words = ((both >= OF_SMALLER[0]) & (both >= OF_SMALLER[1] * smaller)) | ((both >= OF_UNION[0]) & (both >= OF_UNION[1] * either))
+        if variant.same_source:
+            words = words | ((F.col(f"{a}._src") == F.col(f"{b}._src")) & (both >= SAME_SOURCE[0]) & (both >= SAME_SOURCE[1] * smaller))
+        return words
+
+    words = F.exists(F.array(F.size(F.array_intersect(x, y))), by_words)  # a join condition would compute it at each mention
     held = words
     if variant.url:
         held = held | ((F.col(f"{a}._url") != "") & (F.col(f"{a}._url") == F.col(f"{b}._url")))
@@ -105,6 +109,28 @@ def repeats_of(df: DataFrame, past: DataFrame, ident: str, day: str, lookback_da
     return hit.groupBy(F.col("left").alias(ident)).agg(F.min("right").alias("earlier"))
 
 
+def repeats_of_few(df: DataFrame, past: DataFrame, ident: str, day: str, lookback_days: int, variant: Variant = BUILDER) -> DataFrame:
+    """repeats_of where past is small, counted beforehand, and read more than once: it is broadcast, and df isn't shuffled for it.
+
+    Only the past's words are cut to the rarest; a record of df looks up all of its own, so no order of them is needed.
+    """
+    none = F.array().cast("array<string>")
+    listed = [F.transform("_tok", lambda x: F.concat(F.lit("w:"), x))]
+    if variant.same_source:
+        listed.append(F.transform("_tok", lambda x: F.concat(F.lit("s:"), F.col("_src"), F.lit(" "), x)))
+    if variant.url:
+        listed.append(F.when(F.col("_url") != "", F.array(F.concat(F.lit("u:"), "_url"))).otherwise(none))
+    if variant.event_key:
+        listed.append(F.when(F.col("_key").isNotNull(), F.array(F.concat(F.lit("k:"), "_key"))).otherwise(none))
+    need = [ident, day, "_tok", "_url", "_key", "_src"]
+    a = df.select(*need, F.explode(F.concat(*listed)).alias("block")).alias("a")
+    old = _blocks(past, [], ident, word_frequency(past), variant)
+    b = F.broadcast(old.join(past.select(*need), ident)).alias("b")
+    near = (F.col(f"b.{day}") < F.col(f"a.{day}")) & (F.col(f"b.{day}") >= F.date_sub(f"a.{day}", lookback_days))
+    hit = a.join(b, (F.col("a.block") == F.col("b.block")) & near & same_event("a", "b", variant))
+    return hit.groupBy(F.col(f"a.{ident}").alias(ident)).agg(F.min(f"b.{ident}").alias("earlier"))
+
+
 def without_repeats(df: DataFrame, past: DataFrame, ident: str, day: str, lookback_days: int, variant: Variant = BUILDER) -> DataFrame:
     """The records of df that repeat none of past."""
     return df.join(repeats_of(df, past, ident, day, lookback_days, variant).select(ident), ident, "left_anti")

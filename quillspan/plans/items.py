@@ -12,7 +12,7 @@ from quillspan.functions.times import long_date, recency, widened
 from quillspan.functions.urls import part
 from quillspan.operators import events as ev
 from quillspan.operators.dedup import first_rows, first_wins
-from quillspan.operators.publish import calendar_pages, duplicate_problems, published_index, quality_problems, without_earlier_sections
+from quillspan.operators.publish import BROADCAST_ROWS, calendar_pages, duplicate_problems, published_index, quality_problems, without_earlier_sections
 from quillspan.operators.selection import Pass, select_greedily
 from quillspan.operators.trend import growth_hint, latest_first_delivered
 from quillspan.plans.scalars import _HOURS_SQL, NOW, PUBLISHERS, hours_of, log_sql, tokens_sql
@@ -40,11 +40,13 @@ LABEL_RULES = [("code", [["code"]]), ("health", [["health", "hospital"]]), ("ene
 EVENT_RULES = [("drug-agents", [["drug"], ["agent", "copilot"]]), ("code-migration", [["code migration"], ["agent", "assistant", "stack"]]), ("grid", [["grid"]])]
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+ITEM = ("cand_id", "issue_date", "id", "title", "url", "source", "source_kind", "category", "published_at", "text", "engagement", "score", "source_tags", "registry_category", "source_priority")
+EVENT = ("cand_id", "issue_date", "title", "url", "source", "score")
+
+
+def _items(spark: SparkSession, sf_dir: str, cols: tuple[str, ...] = ITEM) -> DataFrame:
     """One row per cand_id; redeliveries are verbatim."""
-    return first_wins(table(spark, sf_dir, "candidates").select(
-        "cand_id", "issue_date", "id", "title", "url", "source", "source_kind", "category", "published_at", "text", "engagement", "score", "source_tags", "registry_category", "source_priority",
-    ), [F.col("cand_id")], ["cand_id"])
+    return first_wins(table(spark, sf_dir, "candidates").select(*cols), [F.col("cand_id")], ["cand_id"])
 
 
 ITEMS = "items AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY cand_id) = 1)"
@@ -233,18 +235,20 @@ SELECT issue_date, cand_id_a, cand_id_b FROM p WHERE (au <> '' AND au = bu) OR (
 
 
 def q37_history_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the audit lists (the 100 best of an issue) that repeat one of the week before."""
-    e = _event_items(_audit(spark, sf_dir))
-    return ev.repeats_of(e, e, "cand_id", "issue_date", 7)
+    """Records that repeat one of the audit lists (what was published, the 100 best of an issue) of the week before."""
+    new = _event_items(_items(spark, sf_dir, EVENT).where("issue_date IS NOT NULL"))
+    past = cut(_event_items(_audit(spark, sf_dir, cols=EVENT)))
+    join = ev.repeats_of_few if past.count() <= BROADCAST_ROWS else ev.repeats_of
+    return join(new, past, "cand_id", "issue_date", 7)
 
 
 AUDIT = f"{ITEMS}, audit AS (SELECT * FROM items WHERE issue_date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY issue_date ORDER BY score DESC NULLS LAST, cand_id) <= 100)"
 _AE = _E.replace("FROM items)", "FROM audit)").replace("lower(title) AS t FROM", f"{_rules(EVENT_RULES, 'NULL', 'lower(title)')} AS k FROM")
 
 
-def _audit(spark: SparkSession, sf_dir: str, n: int = 100) -> DataFrame:
+def _audit(spark: SparkSession, sf_dir: str, n: int = 100, cols: tuple[str, ...] = ITEM) -> DataFrame:
     """The report of an issue's best records, a feature of the pipeline."""
-    rows = _items(spark, sf_dir).where("issue_date IS NOT NULL")
+    rows = _items(spark, sf_dir, cols).where("issue_date IS NOT NULL")
     return first_rows(rows, ["issue_date"], [F.col("score").desc_nulls_last(), F.col("cand_id")], n).drop("place")
 
 
