@@ -214,9 +214,8 @@ def _event_items(df: DataFrame) -> DataFrame:
 
 
 def q36_same_event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _event_items(_items(spark, sf_dir).where("issue_date IS NOT NULL").select("cand_id", "issue_date", "title", "url", "source"))
-    rules_off = ev.Variant(event_key=False)
-    return ev.same_event_pairs(e, "cand_id", ["issue_date"], rules_off).select("issue_date", F.col("left").alias("cand_id_a"), F.col("right").alias("cand_id_b"))
+    e = _event_items(_items(spark, sf_dir, EVENT).where("issue_date IS NOT NULL"))
+    return ev.same_event_pairs(e, "cand_id", ["issue_date"]).select("issue_date", F.col("left").alias("cand_id_a"), F.col("right").alias("cand_id_b"))
 
 
 _URL = r"lower(regexp_extract(trim(coalesce(url, '')), '^([^:/?#]+://[^/?#]+)', 1) || regexp_replace(regexp_extract(trim(coalesce(url, '')), '^[^:/?#]+://[^/?#]+([^?#]*)', 1), '/+$', ''))"

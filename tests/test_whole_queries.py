@@ -48,3 +48,17 @@ def test_q37_checks_every_record_against_the_audit_lists(spark, tmp_path):
     got = {r["cand_id"]: r["earlier"] for r in plans.q37_history_repeats(spark, path).collect()}
     best = {r["cand_id"] for r in audit}
     assert got == expected and 1000 in got and any(i not in best for i in got)
+
+
+def test_q36_pairs_by_every_rule(spark, tmp_path):
+    rng = random.Random(36)
+    rows = []
+    for i in range(160):
+        title = " ".join(rng.choice(VOCABULARY) for _ in range(rng.randrange(0, 8)))
+        rows.append(candidate(i, date(2026, 1, 1) + timedelta(days=i % 2), title, rng.choice([None, f"https://e.example/{rng.randrange(90)}"]), rng.choice(["A", "B", None])))
+    rows += [candidate(900, date(2026, 1, 1), "News of the grid", source="X"), candidate(901, date(2026, 1, 1), "Power cut hits a grid", source="Y"), candidate(902, date(2026, 1, 2), "The grid again", source="Z")]
+    path = write(spark, tmp_path, "candidates", rows, CANDIDATES)
+    e = events_of(spark, path)
+    expected = {(a["issue_date"], a["cand_id"], b["cand_id"]) for a in e for b in e if a["cand_id"] < b["cand_id"] and a["issue_date"] == b["issue_date"] and alike(a, b)}
+    got = [(r["issue_date"], r["cand_id_a"], r["cand_id_b"]) for r in plans.q36_same_event_pairs(spark, path).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and (date(2026, 1, 1), 900, 901) in expected
