@@ -17,8 +17,8 @@ from quillspan.operators.selection import Pass, select_greedily
 from quillspan.operators.trend import growth_hint, latest_first_delivered
 from quillspan.plans.scalars import _HOURS_SQL, NOW, PUBLISHERS, hours_of, log_sql, tokens_sql
 from quillspan.session import cut, table
-from quillspan.sources.feeds import page_links
-from quillspan.sources.registry import canonical_category
+from quillspan.sources.feeds import capped, page_links
+from quillspan.sources.registry import canonical_category, fetch_kind
 
 QUERIES, SQL = {}, {}
 
@@ -199,10 +199,11 @@ SQL["q34_first_wins_dedup"] = "SELECT issue_date, min(cand_id) AS cand_id FROM c
 
 
 def q35_source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "raw_candidates").select("rec_id", "source")
-    caps = table(spark, sf_dir, "sources").select(F.col("name").alias("source"), F.coalesce("max_entries", F.lit(25)).alias("most"))
-    bound = caps.agg(F.max("most")).first()[0]
-    return first_rows(raw.join(caps, "source"), ["source"], [F.col("rec_id")], F.col("most"), bound).select("source", "rec_id", "place")
+    """The first max_entries records of each source, all of a searched site; sources switched off by now count as well."""
+    raw = table(spark, sf_dir, "raw_candidates").select("source", F.col("rec_id").alias("rec_ord"))
+    registry = table(spark, sf_dir, "sources").select("name", fetch_kind(F.col("fetch_type"), F.col("source_type")).alias("kind"), F.coalesce("max_entries", F.lit(25)).alias("max_entries"))
+    kept = capped(raw, registry).withColumnRenamed("rec_ord", "rec_id")
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("rec_id")))
 
 
 SQL["q35_source_cap"] = """SELECT r.source, r.rec_id, row_number() OVER (PARTITION BY r.source ORDER BY r.rec_id) AS place FROM raw_candidates r

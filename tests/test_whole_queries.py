@@ -62,3 +62,13 @@ def test_q36_pairs_by_every_rule(spark, tmp_path):
     expected = {(a["issue_date"], a["cand_id"], b["cand_id"]) for a in e for b in e if a["cand_id"] < b["cand_id"] and a["issue_date"] == b["issue_date"] and alike(a, b)}
     got = [(r["issue_date"], r["cand_id_a"], r["cand_id_b"]) for r in plans.q36_same_event_pairs(spark, path).collect()]
     assert len(got) == len(set(got)) and set(got) == expected and (date(2026, 1, 1), 900, 901) in expected
+
+
+def test_q35_caps_no_searched_site(spark, tmp_path):
+    names = [("feed", "rss", None, True, 2), ("site", "website", None, True, 2), ("off", "website", None, False, 2), ("named", "website", "rss", True, None), ("hand", "newsletter", None, True, 3)]
+    write(spark, tmp_path, "sources", names, "name string, source_type string, fetch_type string, enabled boolean, max_entries int")
+    raw = [(100 * k + i, n) for k, n in enumerate(["feed", "site", "off", "named", "hand", "unknown"]) for i in range(30)]
+    path = write(spark, tmp_path, "raw_candidates", raw, "rec_id long, source string")
+    got = sorted(tuple(r) for r in plans.q35_source_cap(spark, path).select("source", "rec_id", "place").collect())
+    most = {"feed": 2, "site": 30, "off": 30, "named": 25, "hand": 3}
+    assert got == sorted((n, r, r % 100 + 1) for r, n in raw if n in most and r % 100 < most[n])
