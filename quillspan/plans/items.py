@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from quillspan.functions import scores as sc
 from quillspan.functions import text as tx
 from quillspan.functions.rules import any_word, effective_source, first_rule, section_matches, trusted
-from quillspan.functions.times import long_date, recency, widened
-from quillspan.functions.urls import part
+from quillspan.functions.times import long_date, recency, widened, within_window
+from quillspan.functions.urls import normal_url, part
 from quillspan.operators import events as ev
 from quillspan.operators.dedup import first_rows, first_wins
 from quillspan.operators.publish import BROADCAST_ROWS, calendar_pages, duplicate_problems, published_index, quality_problems, without_earlier_sections
 from quillspan.operators.selection import Pass, select_greedily
 from quillspan.operators.trend import growth_hint, latest_first_delivered
-from quillspan.plans.scalars import _HOURS_SQL, NOW, PUBLISHERS, hours_of, log_sql, tokens_sql
+from quillspan.plans.scalars import _HOURS_SQL, HOURS, NOW, PUBLISHERS, hours_of, log_sql, tokens_sql
 from quillspan.session import cut, table
 from quillspan.sources.feeds import capped, page_links
 from quillspan.sources.registry import canonical_category, fetch_kind
@@ -190,9 +190,12 @@ SELECT cand_id, round(0.0::DOUBLE + 32 * pr + 22 * (CASE WHEN published_at IS NU
 SQL["q33_candidate_score"] = SQL["q33_candidate_score"].replace("FROM b) , p AS", "FROM b), p AS")
 
 
+def _unique_key() -> Column:
+    return F.when(F.coalesce("url", F.lit("")) != "", normal_url(F.col("url"))).otherwise(F.lower("title"))
+
+
 def q34_first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.when(F.coalesce("url", F.lit("")) != "", F.lower("url")).otherwise(F.lower("title"))
-    return first_wins(table(spark, sf_dir, "candidates").select("issue_date", "cand_id", "url", "title"), [F.col("issue_date"), key], ["cand_id"]).select("issue_date", "cand_id")
+    return first_wins(table(spark, sf_dir, "candidates").select("issue_date", "cand_id", "url", "title"), [F.col("issue_date"), _unique_key()], ["cand_id"]).select("issue_date", "cand_id")
 
 
 SQL["q34_first_wins_dedup"] = "SELECT issue_date, min(cand_id) AS cand_id FROM candidates GROUP BY issue_date, lower(coalesce(nullif(url, ''), title))"
@@ -364,12 +367,14 @@ SELECT doc_id, day FROM g WHERE day BETWEEN issue - 8 AND issue AND (key IS NULL
 
 
 def q48_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of one pass over the records, per issue."""
+    """Counters of one pass over the records, per issue; a pass is made as its issue's day begins."""
     m = _matched(table(spark, sf_dir, "candidates").where("issue_date IS NOT NULL"))
-    key = F.when(F.coalesce("url", F.lit("")) != "", F.lower("url")).otherwise(F.lower("title"))
-    passed = (F.size("hits") > 0) & tx.looks_english(all_text())
+    hours = widened(hours_of(F.col("category")), F.col("source_kind"), F.col("category"), F.size("_eng") > 0, tx.has_any(all_text(), AI), HOURS["engineering_ai"])
+    named = (F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != "")
+    fresh = within_window(F.col("published_at"), F.col("issue_date").cast("timestamp"), hours)
+    m = m.select("issue_date", "source", _unique_key().alias("key"), (fresh & named & tx.looks_english(all_text()) & (F.size("hits") > 0) & _gated(m)).alias("passed"))
     return m.groupBy("issue_date").agg(
-        F.count("*").alias("fetched"), F.count_if(passed).alias("filtered"), (F.count_if(passed) - F.countDistinct(F.when(passed, key))).alias("duplicates"), F.countDistinct("source").alias("sources"),
+        F.count("*").alias("fetched"), F.count_if("passed").alias("filtered"), (F.count_if("passed") - F.countDistinct(F.when(F.col("passed"), F.col("key")))).alias("duplicates"), F.countDistinct("source").alias("sources"),
     )
 
 

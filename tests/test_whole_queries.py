@@ -2,7 +2,7 @@
 
 import random
 import re
-from datetime import date, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from quillspan.plans import items as plans
 from quillspan.plans import scalars
@@ -94,3 +94,20 @@ def test_q21_summarises_documents_of_every_language(spark, tmp_path):
     path = write(spark, tmp_path, "documents", rows, "doc_id long, lang string, title string, text string")
     got = {r["doc_id"]: r["summary"] for r in scalars.q21_extract_summary(spark, path).collect()}
     assert got == {i: summary(title, text) for i, _, title, text in rows}
+
+
+def test_q34_and_q48_key_by_normal_address(spark, tmp_path):
+    day, text = date(2026, 6, 10), "A language model for everybody, with benchmark results."
+    new, late, wide = (datetime(2026, 6, 10, tzinfo=UTC) - timedelta(hours=h) for h in (5, 241, 700))
+    good = lambda i, url, **k: candidate(i, day, k.pop("title", f"Title {i}"), url, **{"published_at": new, "text": text} | k)
+    rows = [
+        good(1, "https://a.example/x"), good(2, "https://A.example/x/?utm_source=y#z"), good(3, "https://a.example/x?b=1"), good(4, "https://a.example/late", published_at=late),
+        good(5, None), good(6, "", title="title 5"), good(7, "https://a.example/untitled", title=""), good(8, "https://a.example/de", text="é" * 300), good(9, "https://a.example/undated", published_at=None),
+        good(10, "https://a.example/none", text="Nothing to the point is said here at all."), good(11, "https://a.example/mesh", text="A mesh generator by hand, and a new turbine."), good(12, "https://a.example/core", text="A mesh generator by a neural method, and a turbine."),
+    ]
+    site = candidate(13, day, "Title 13", "https://b.example/13", published_at=wide, text="A mesh generator by a neural method, and a turbine.")
+    rows += [(*site[:6], "sitemap_or_search", *site[7:]), (*site[:1], *site[1:6], "rss", *site[7:])]
+    path = write(spark, tmp_path, "candidates", rows, CANDIDATES)
+    assert {r["cand_id"] for r in plans.q34_first_wins_dedup(spark, path).collect()} == {1, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13}
+    log = plans.q48_run_log(spark, path).first()
+    assert (log["fetched"], log["filtered"], log["duplicates"]) == (14, 6, 1)  # 1, 2, 3, 9, 12 and the searched 13 pass; 2 repeats 1
