@@ -297,9 +297,12 @@ def repeats_of_history(df: DataFrame, batch: str, rec: str, title: str, url: str
     out. A record whose title has no word, or is null, repeats by its page only; one with neither page nor
     time is always accepted. Other columns are pruned. An empty table, or one batch, gives no rows.
 
-    Per batch, the accepted records of which are never read again: suffixes of the batch's texts are
-    binary-searched in the suffix arrays of all accepted segments, the coverage of each matched record is
-    aggregated and decides; what is left is compared within the batch in the same way; what remains is written
+    Per batch, suffixes of the batch's texts are binary-searched in the suffix arrays of all accepted segments
+    by their beginning (numbers, time span and first word, or page), which makes the segments a sorted inverted
+    index of rare words (a prefix filter); longer matches are not searched. Each hit is decided alone by the set
+    intersection of both suffixes, which at the first shared word covers all shared words. The segments, so the
+    accepted titles in them, are read and shuffled once a batch. What is left is compared within the batch in
+    the same way; what remains is written
     as one more immutable segment, and segments merge logarithmically. Suffixes are sharded by the hash of their
     beginning (numbers, time span and first word, or page), and the queries of a shard with a crowd of repeats
     are dealt out over several tasks.
