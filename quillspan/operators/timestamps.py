@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.operators.zones import resolve, zone_table
+from quillspan.operators.zones import require_version, resolve, tzdata_version, zone_table
 
 # Month names and their common short forms in English, German, French and Spanish.
 MONTHS = {
@@ -241,12 +241,15 @@ def utc_instants(df: DataFrame, ident: str, text: str, zone: str, day_first: str
 
     Each text becomes a mask of character classes; a mask is matched with the shapes once, which gives the
     places of its fields, and all texts of the mask are converted together as arrays. Zones are read from
-    transition tables built once per process (zones.py, tzdata_version() names their release).
+    transition tables built once per process (zones.py, which carry the release of their rules); a task whose
+    rules are of another release than the driver's is an error.
     """
     kind = dict(df.dtypes)[ident]
     rows = df.select(F.col(ident).alias("rec_id"), F.col(text).alias("t"), F.col(zone).alias("z"), F.col(day_first).alias("d")).where("t IS NOT NULL")
+    version = tzdata_version()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        require_version(version)
         for b in batches:
             us = pa.array(normalise_batch(*(b.column(k).to_pylist() for k in (1, 2, 3))), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), us], names=["rec_id", "utc_us"]).filter(us.is_valid())

@@ -13,6 +13,7 @@ import numpy as np
 FIRST_YEAR, LAST_YEAR = 1901, 2100
 
 
+@lru_cache(maxsize=1)
 def tzdata_version() -> str:
     """The release of the zone rules the tables are built from, or 'unknown'."""
     for root in zoneinfo.TZPATH:
@@ -32,6 +33,12 @@ def tzdata_version() -> str:
         return "unknown"
 
 
+def require_version(version: str) -> None:
+    """An error where the zone rules installed here are of another release than version."""
+    if tzdata_version() != version:
+        raise RuntimeError(f"zone rules differ: {version} at the driver, {tzdata_version()} here")
+
+
 @lru_cache(maxsize=1024)
 def resolve(name: str) -> str | None:
     """The zone of a name in any letter case, or None. A machine without zone rules is an error, not None."""
@@ -50,10 +57,10 @@ def _by_lower() -> dict[str, str]:
 
 
 class ZoneTable:
-    """Offsets of one zone: at[i] is the UTC second from which offset[i+1] holds; offset[0] holds before."""
+    """Offsets of one zone: at[i] is the UTC second from which offset[i+1] holds; offset[0] holds before. version is the rules' release."""
 
-    def __init__(self, at: np.ndarray, offset: np.ndarray, abbreviations: dict[str, int]):
-        self.at, self.offset, self.abbreviations = at, offset, abbreviations
+    def __init__(self, at: np.ndarray, offset: np.ndarray, abbreviations: dict[str, int], version: str):
+        self.at, self.offset, self.abbreviations, self.version = at, offset, abbreviations, version
         # Wall time moves on to a new offset when the later of both readings of the change has passed. So a
         # repeated hour keeps the offset before the change (the earlier instant), and so does a skipped one.
         self.wall = at + np.maximum(offset[:-1], offset[1:])
@@ -93,4 +100,4 @@ def zone_table(name: str) -> ZoneTable:
             b = hi
         a, was = b, now
     words = {k: v for k, v in names.items() if k.isalpha()}
-    return ZoneTable(np.array(at, dtype=np.int64), np.array(offsets, dtype=np.int64), words)
+    return ZoneTable(np.array(at, dtype=np.int64), np.array(offsets, dtype=np.int64), words, tzdata_version())

@@ -4,6 +4,9 @@ import random
 import re
 from datetime import UTC, date, datetime, timedelta
 
+import pytest
+
+from quillspan.operators import timestamps, zones
 from quillspan.plans import items as plans
 from quillspan.plans import scalars
 from test_events import VOCABULARY, alike
@@ -111,3 +114,12 @@ def test_q34_and_q48_key_by_normal_address(spark, tmp_path):
     assert {r["cand_id"] for r in plans.q34_first_wins_dedup(spark, path).collect()} == {1, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13}
     log = plans.q48_run_log(spark, path).first()
     assert (log["fetched"], log["filtered"], log["duplicates"]) == (14, 6, 1)  # 1, 2, 3, 9, 12 and the searched 13 pass; 2 repeats 1
+
+
+def test_p3_another_release_of_zone_rules_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "2023-01-14 10:00", "Europe/Berlin", True)], "rec_id long, t string, z string, d boolean")
+    assert timestamps.utc_instants(df, "rec_id", "t", "z", "d").count() == 1
+    assert zones.zone_table("Europe/Berlin").version == zones.tzdata_version()
+    monkeypatch.setattr(timestamps, "tzdata_version", lambda: "1900z")
+    with pytest.raises(Exception, match="zone rules differ"):
+        timestamps.utc_instants(df, "rec_id", "t", "z", "d").collect()
