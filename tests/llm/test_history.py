@@ -114,3 +114,73 @@ def test_empty_one_batch_and_long_title(spark):
     assert run(spark, [(0, 1, "a b", None, T0), (0, 2, "a b", None, T0)]) == set()
     long = " ".join(f"w{k}" for k in range(3000))
     assert run(spark, [(0, 1, long, None, T0), (1, 2, long + " x", None, T0)]) == {(1, 2)}
+
+
+def read_back(spark, tmp_path, rows):
+    """As run(), from a file, so that Spark knows sizes and shards hold many records."""
+    path = str(tmp_path / "in.parquet")
+    spark.createDataFrame(rows, "b int, r long, t string, u string, at timestamp").coalesce(2).write.mode("overwrite").parquet(path)
+    return {tuple(x) for x in repeats_of_history(spark.read.parquet(path), "b", "r", "t", "u", "at").collect()}
+
+
+def test_many_shards_and_salts(spark, tmp_path, monkeypatch):
+    """Shards and salts of few records, whose spans one title's words crowd; long titles among them."""
+    monkeypatch.setattr(history, "SHARD_ROWS", 40)
+    monkeypatch.setattr(history, "SALT_ROWS", 100)
+    monkeypatch.setattr(history, "LIKES", 2)
+    rng = random.Random(3)
+    common = ["w" + c for c in "abcdefghijklmn"]  # no digits: numbers must agree
+    rows = []
+    for r in range(900):
+        words = rng.sample(common, rng.randrange(3, 12)) + ([f"x{'uvwxyz'[rng.randrange(6)]}"] if r % 3 == 0 else ["same"])
+        if r % 50 == 0:
+            words += ["long" + "i" * k for k in range(rng.randrange(30, 40))]
+        rows.append((r // 300, r, " ".join(words), None, T0 + timedelta(hours=rng.randrange(400))))
+    expected = brute(rows)
+    assert len(expected) > 20
+    assert read_back(spark, tmp_path, rows) == expected
+
+
+def test_chain_of_two_thousand(spark, tmp_path):
+    """Each record of one batch is like the one before it and no other: every second one repeats."""
+    rows = [(0, 0, "something else", None, T0)] + [(1, 1 + k, "alpha beta gamma delta", None, T0 + timedelta(hours=71 * k)) for k in range(2000)]
+    assert read_back(spark, tmp_path, rows) == {(k, k + 1) for k in range(1, 2000, 2)}
+
+
+def test_line_ends_and_zeros_in_texts(spark, tmp_path):
+    odd = ["a.example/bb\ncc", "a.example/bb\rcc", "a.example/bb\x00cc", "a.example/\x02", "a.example/\x01?x=\n"]
+    rows = [(0, k, f"first\nline\x00{k} word\rhere", f"https://{u}", T0) for k, u in enumerate(odd * 8)]
+    rows = [(b, r, t, u if r < len(odd) else u + str(r), at) for b, r, t, u, at in rows]
+    rows += [(1, 100 + k, None, f"http://www.{u}", None) for k, u in enumerate(odd)] + [(1, 200, "first line 3 word here", None, T0)]
+    assert read_back(spark, tmp_path, rows) == brute(rows)
+    assert {(0, 100), (1, 101), (2, 102), (3, 103), (4, 104)} <= brute(rows)
+
+
+def test_suffix_array_is_sorted_and_finds_the_longest_match():
+    import numpy as np
+
+    from quillspan.llm.suffixes import Index, Titles
+
+    rng = random.Random(9)
+    texts = [[rng.randrange(4) for _ in range(rng.randrange(1, 30))] for _ in range(200)]
+
+    def titles(texts):
+        size = np.array([len(t) for t in texts])
+        z = np.zeros(len(texts), np.int64)
+        start = np.cumsum(size) - size
+        words = np.array([w for t in texts for w in t], dtype=np.uint64)
+        return Titles(z, np.arange(len(texts)), z, z.astype(np.uint64), size, words, np.arange(len(words)), np.repeat(np.arange(len(texts)), size)), start
+
+    t, start = titles(texts)
+    s = Titles.read(t.sorted().pack())
+    symbols, ends = s.symbols(), s.ends()
+    suffixes = [tuple(symbols[a : ends[r]].tolist()) for a, r in zip(s.seed, s.seed_of, strict=True)]
+    assert suffixes == sorted(suffixes) and len(suffixes) == sum(map(len, texts))
+    q, _ = titles([[rng.randrange(4) for _ in range(8)] for _ in range(50)])
+    index = Index(s)
+    here, lo, hi = index.intervals(q, q.symbols())
+    found = index.longest(q, q.symbols(), here, lo, hi)
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    for k, f in zip(here, found, strict=True):
+        asked = tuple(q.symbols()[q.seed[k] : q.ends()[q.seed_of[k]]].tolist())
+        assert shared(asked, suffixes[f]) == max(shared(asked, x) for x in suffixes)
