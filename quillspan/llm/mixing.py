@@ -49,18 +49,35 @@ def running_total(df: DataFrame, groups: list[str], order: list[str], value: str
     return own.join(offset, [*groups, "_part"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")
 
 
-def mixture(df: DataFrame, targets: DataFrame, ident: str, source: str, size: str, budget: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def _finish(sources: list[tuple[float, int]], size: int) -> float | None:
+    """The finish time F at which sources of (weight, available) have size together, each min(weight * F, available); None if they never have."""
+    left = list(sources)
+    spent = 0
+    while left:
+        at = (size - spent) / sum(w for w, _ in left)
+        out = [s for s in left if s[1] < s[0] * at]
+        if not out:
+            return at
+        spent += sum(a for _, a in out)
+        left = [s for s in left if s[1] >= s[0] * at]
+    return None
+
+
+def mixture(df: DataFrame, targets: DataFrame, ident: str, source: str, size: str, budget: int | str | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(mix, shares): the documents of a mixture in their order, and what each source's share became.
 
     targets has (source, target_share, max_repeats), one row per source, few enough for the driver; a share
     of null or 0 and below, and max_repeats of null or below 1, take a source out. mix has (mix_offset,
     source, ident, copy, n_tokens): mix_offset is the sum of all sizes before the row, copy counts the uses of
     a document from 0 and stays below max_repeats. shares has one row per target: source, target_share,
-    documents, uses, most_repeats, n_tokens, actual_share; a source without documents is reported with 0.
+    documents, uses, most_repeats, n_tokens, actual_share, available_tokens (all its documents, repeats included),
+    ran_out (all of that was used) and the budget; a source without documents is reported with 0.
 
-    budget is the total size; by default it is the largest at which every source that has documents holds its
-    share of the shares of these sources. With a larger one, small sources end early (after max_repeats uses)
-    and the others go on, as the shares then report. Rows with a null source, ident or size, or of no target,
+    budget is the total size. None is the largest at which every source that has documents holds its share of the
+    shares of these sources, which the smallest source sets; "held" is the size of all documents of the targets,
+    each counted once. With a larger one than None's, small sources run out (after max_repeats uses) and the others
+    go on in proportion, as the shares then report: within a document of each source, source s has the least of
+    its available tokens and share * F, with F such that these add up to the budget. Rows with a null source, ident or size, or of no target,
     are left out; other columns are pruned; idents must be unique; empty tables give an empty mixture.
 
     Weighted fair queueing: documents are shuffled by a hash of seed and ident; a document's virtual finish
@@ -76,13 +93,14 @@ def mixture(df: DataFrame, targets: DataFrame, ident: str, source: str, size: st
     weight = sum(r["share"] for r in have)
     if budget is None:
         budget = int(min((r["total"] * r["most"] * weight / r["share"] for r in have), default=0))
-    # Beyond this finish time the total has passed budget: each source is at most its largest document behind.
-    until = budget + sum(r["largest"] for r in have)
+    elif budget == "held":
+        budget = sum(r["total"] for r in have)
+    until = _finish([(r["share"] / weight, r["total"] * r["most"]) for r in have], budget + sum(r["largest"] for r in have))
     plan = spark.createDataFrame([(r["source"], r["share"] / weight, r["total"], r["most"]) for r in have], "source string, weight double, total long, most long")
     summed = running_total(docs.withColumn("_key", F.xxhash64(F.lit(seed), "ident")), ["source"], ["_key", "ident"], "n", "so_far")
     uses = summed.join(F.broadcast(plan), "source").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1)))
     timed = uses.withColumn("finish", (F.col("copy") * F.col("total") + F.col("so_far")) / F.col("weight"))
-    if all(r["total"] * r["most"] * weight / r["share"] >= budget for r in have):
+    if until is not None:
         timed = timed.where(F.col("finish") <= until)
     whole = running_total(timed.select("source", "ident", "copy", "n", "finish"), [], ["finish", "source", "copy", "ident"], "n", "upto").where(F.col("upto") <= budget)
     mix = whole.select((F.col("upto") - F.col("n")).alias("mix_offset"), "source", F.col("ident").alias(ident), F.col("copy").cast("int").alias("copy"), F.col("n").alias("n_tokens"))
@@ -91,4 +109,6 @@ def mixture(df: DataFrame, targets: DataFrame, ident: str, source: str, size: st
     report = targets.where("source IS NOT NULL").select("source", "target_share").join(reached, "source", "left").fillna(0, ["documents", "uses", "most_repeats", "n_tokens"])
     whole_size = F.sum("n_tokens").over(Window.partitionBy())  # over one row per target
     shares = report.withColumn("actual_share", F.coalesce(F.try_divide(F.col("n_tokens"), whole_size), F.lit(0.0)))
-    return mix, shares
+    held = spark.createDataFrame([(r["source"], r["total"] * r["most"]) for r in have], "source string, available_tokens long")
+    shares = shares.join(F.broadcast(held), "source", "left").fillna(0, ["available_tokens"])
+    return mix, shares.withColumn("ran_out", F.col("n_tokens") >= F.col("available_tokens")).withColumn("budget", F.lit(budget).cast("long"))

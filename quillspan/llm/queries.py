@@ -107,18 +107,18 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, sf_dir, "mix_targets")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(targets.select("source"), "source", "left_semi")
-    return mixture(token_sizes(docs, "text"), targets, "doc_id", "source", "n_tokens")
+    return mixture(token_sizes(docs, "text"), targets, "doc_id", "source", "n_tokens", budget="held")
 
 
 @query
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of the mixture in order, with their use and offset."""
+    """The documents of the mixture in order, with their use and offset; as large as all documents of the targets together."""
     return _mixture(spark, sf_dir)[0]
 
 
 @query
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual share of each source."""
+    """Target and actual share of each source, and which sources ran out."""
     return _mixture(spark, sf_dir)[1]
 
 

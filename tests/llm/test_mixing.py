@@ -63,3 +63,24 @@ def test_empty(spark):
     assert mix == [] and shares == {}
     mix, shares = run(spark, [(1, "a", 5)], [("a", None, 1), ("b", 0.3, None)])
     assert mix == [] and shares["a"]["n_tokens"] == 0
+
+
+def test_sources_of_two_documents_run_out_and_none_is_missing(spark):
+    """With the size of all documents as budget, two small sources run out and all others hold their share of the rest."""
+    rng = random.Random(5)
+    docs = [(i, rng.choice(["big", "mid"]), rng.randrange(10, 200)) for i in range(2000)] + [(5000, "two", 90), (5001, "two", 700), (5002, "pair", 30), (5003, "pair", 40)]
+    targets = [("big", 0.5, 2), ("mid", 0.4, 2), ("two", 0.04, 4), ("pair", 0.06, 3)]
+    mix, shares = run(spark, docs, targets, budget="held")
+    budget = sum(n for _, _, n in docs)
+    total = sum(r[4] for r in mix)
+    assert budget - 200 < total <= budget and {r["budget"] for r in shares.values()} == {budget}
+    assert shares["two"]["n_tokens"] == shares["two"]["available_tokens"] == 3160 and shares["two"]["ran_out"]
+    assert shares["pair"]["n_tokens"] == 210 and shares["pair"]["most_repeats"] == 3 and shares["pair"]["ran_out"]
+    rest = budget - 3160 - 210
+    for s, share in (("big", 5 / 9), ("mid", 4 / 9)):
+        assert abs(shares[s]["n_tokens"] - share * rest) <= 400 and not shares[s]["ran_out"]
+
+
+def test_budget_beyond_everything_takes_all(spark):
+    mix, shares = run(spark, [(1, "a", 5), (2, "a", 6), (3, "b", 7)], [("a", 0.5, 2), ("b", 0.5, 1)], budget=1000)
+    assert sum(r[4] for r in mix) == 29 and all(r["ran_out"] for r in shares.values())

@@ -61,3 +61,18 @@ def test_token_sizes_equal_the_tokenizer(spark):
     e = encoder(TOKENIZER)
     assert got == {i: len(e.encode_ordinary(t)) for i, t in enumerate(texts) if t is not None}
     assert e.decode(e.encode_ordinary(texts[4])) == texts[4]
+
+
+def test_no_cap_on_items(spark):
+    """Ten thousand items of size 1 fill a container and begin a second."""
+    rows = [(i, 1) for i in range(10_000)]
+    out = pack(frame(spark, rows).coalesce(1), "i", "n", [("wide", 8192)]).collect()
+    assert sorted(check(rows, out, [("wide", 8192)]).values()) == [1808, 8192]
+
+
+def test_windows_passed_on_in_pieces_take_leftovers_in(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([0, 1, 2, 30, 399])) for i in range(3000)]
+    out = pack(frame(spark, rows).repartition(6), "i", "n", PROFILES, held_items=5).collect()
+    check(rows, out, PROFILES)
+    assert sum(n for _, n in rows) / (len({r["container"] for r in out if r["profile"] == "long"}) * 400) > 0.98
