@@ -38,6 +38,9 @@ AFTER = {"uhr", "h", "hrs"}
 UTC_WORDS = {"z", "utc", "gmt", "ut", "zulu"}
 MONTH_OF = {w: m for m, words in MONTHS.items() for w in words.split()}
 
+#: Characters converted at once, and up to which length masks are kept; bound memory only.
+CELLS, KEPT_MASK = 4_000_000, 256
+
 # Shapes, in masks: 9 is a digit, a a letter, anything else itself. The first that fits the whole mask is taken.
 _CLOCK = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9+))?)?(?: ?(?P<w1>a\.a\.|a+))?"
 _ZONE = r"(?: ?(?P<sg>[+-])(?P<oh>99)(?::?(?P<om>99))?)?(?: (?P<w2>a+))?(?: ?\[(?P<zn>[a/_+9-]+)\])?"
@@ -62,8 +65,7 @@ SHAPES = [
 ]
 
 
-@lru_cache(maxsize=65536)
-def parser_of(mask: str) -> dict[str, tuple[int, int]] | None:
+def _parse(mask: str) -> dict[str, tuple[int, int]] | None:
     """Where each field of texts of this mask stands; None if no shape fits. Worked out once per mask."""
     for shape in SHAPES:
         m = shape.fullmatch(mask)
@@ -72,6 +74,9 @@ def parser_of(mask: str) -> dict[str, tuple[int, int]] | None:
     return None
 
 
+parser_of = lru_cache(maxsize=65536)(_parse)
+
+
 def masks(chars: np.ndarray) -> np.ndarray:
     """Code points with all digits made 9, all letters a, and any kind of blank a space."""
     out = chars.copy()
@@ -206,16 +211,17 @@ def normalise_batch(texts: list[str | None], zones: list[str | None], day_first:
     by_length: dict[int, list[int]] = {}
     clean = [t.strip().lower() if t else "" for t in texts]
     for i, t in enumerate(clean):
-        if 6 <= len(t) <= 64:  # no shape is shorter or longer
+        if len(t) >= 6:  # no shape is shorter
             by_length.setdefault(len(t), []).append(i)
     zone = np.array([resolve(z) if z else None for z in zones], dtype=object)
     first = np.array(day_first, dtype=object)
-    for n, rows in by_length.items():
+    at_once = [(n, rows[k : k + step]) for n, rows in by_length.items() for step in (max(1, CELLS // n),) for k in range(0, len(rows), step)]
+    for n, rows in at_once:
         index = np.array(rows)
         chars = np.frombuffer("".join(clean[i] for i in rows).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(rows), n)
         shape, which = np.unique(np.ascontiguousarray(masks(chars)).view(f"<U{n}").reshape(-1), return_inverse=True)
         for k, mask in enumerate(shape.tolist()):
-            at = parser_of(mask)
+            at = parser_of(mask) if n <= KEPT_MASK else _parse(mask)
             if at is None:
                 continue
             of = np.flatnonzero(which == k)
@@ -235,8 +241,7 @@ def utc_instants(df: DataFrame, ident: str, text: str, zone: str, day_first: str
     alone is the start of its day. Digits only: 8 are a date, 10 seconds, 13 milliseconds. Two-digit years
     are 20xx. Fractions beyond microseconds are cut off.
 
-    No row comes out for a text that is null, empty, longer than 64 characters, not of a known shape or not
-    a real date or time, nor for wall time without a known zone, nor a date with slashes without day_first.
+    No row comes out for a text that is null, empty, not of a known shape or not a real date or time, nor for wall time without a known zone, nor a date with slashes without day_first.
     Repeated rows give repeated results; other columns are pruned. No shuffle.
 
     Each text becomes a mask of character classes; a mask is matched with the shapes once, which gives the

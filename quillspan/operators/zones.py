@@ -9,8 +9,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Instants at which a zone may change are found between these years; beyond, the nearest offset holds.
-FIRST_YEAR, LAST_YEAR = 1901, 2100
+#: Instants at which a zone may change are found between these years. Earlier ones have the first offset; in later
+#: ones the rules repeat with the calendar, so their changes are those of the cycle of 400 years that begins here.
+FIRST_YEAR, LAST_YEAR, CYCLE = 1800, 2100, 400
+CYCLE_SECONDS = 146_097 * 86_400
 
 
 @lru_cache(maxsize=1)
@@ -59,18 +61,27 @@ def _by_lower() -> dict[str, str]:
 class ZoneTable:
     """Offsets of one zone: at[i] is the UTC second from which offset[i+1] holds; offset[0] holds before. version is the rules' release."""
 
-    def __init__(self, at: np.ndarray, offset: np.ndarray, abbreviations: dict[str, int], version: str):
+    def __init__(self, at: np.ndarray, offset: np.ndarray, abbreviations: dict[str, int], version: str, name: str, end: int):
+        self.name, self.end = name, end
         self.at, self.offset, self.abbreviations, self.version = at, offset, abbreviations, version
         # Wall time moves on to a new offset when the later of both readings of the change has passed. So a
         # repeated hour keeps the offset before the change (the earlier instant), and so does a skipped one.
         self.wall = at + np.maximum(offset[:-1], offset[1:])
 
     def to_utc(self, wall_seconds: np.ndarray) -> np.ndarray:
+        late = wall_seconds >= self.end
+        if late.any():
+            # 400 years are whole weeks, so a wall time of a later cycle has the offset of the same one in the first
+            whole = (wall_seconds - self.end) // CYCLE_SECONDS * CYCLE_SECONDS
+            cycle = zone_table(self.name, LAST_YEAR, LAST_YEAR + CYCLE)
+            of = wall_seconds - np.where(late, whole, 0)
+            then = cycle.offset[np.searchsorted(cycle.wall, of, side="right")]
+            return wall_seconds - np.where(late, then, self.offset[np.searchsorted(self.wall, wall_seconds, side="right")])
         return wall_seconds - self.offset[np.searchsorted(self.wall, wall_seconds, side="right")]
 
 
 @lru_cache(maxsize=1024)
-def zone_table(name: str) -> ZoneTable:
+def zone_table(name: str, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> ZoneTable:
     zone = zoneinfo.ZoneInfo(name)
     epoch = datetime(1970, 1, 1, tzinfo=UTC)
 
@@ -78,8 +89,8 @@ def zone_table(name: str) -> ZoneTable:
         t = (epoch + timedelta(seconds=second)).astimezone(zone)
         return int(t.utcoffset().total_seconds()), t.tzname()
 
-    begin = int((datetime(FIRST_YEAR, 1, 1, tzinfo=UTC) - epoch).total_seconds())
-    end = int((datetime(LAST_YEAR, 1, 1, tzinfo=UTC) - epoch).total_seconds())
+    begin = int((datetime(first, 1, 1, tzinfo=UTC) - epoch).total_seconds())
+    end = int((datetime(last, 1, 1, tzinfo=UTC) - epoch).total_seconds())
     at, offsets = [], [look(begin)[0]]
     names: dict[str, int] = {look(begin)[1].lower(): offsets[0]}
     step = 6 * 86400
@@ -99,5 +110,5 @@ def zone_table(name: str) -> ZoneTable:
             names[now[1].lower()] = now[0]
             b = hi
         a, was = b, now
-    words = {k: v for k, v in names.items() if k.isalpha()}
-    return ZoneTable(np.array(at, dtype=np.int64), np.array(offsets, dtype=np.int64), words, tzdata_version())
+    words = {k: v for k, v in names.items() if k.isalpha() and k != "lmt"}
+    return ZoneTable(np.array(at, dtype=np.int64), np.array(offsets, dtype=np.int64), words, tzdata_version(), name, end)

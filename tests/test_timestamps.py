@@ -107,3 +107,30 @@ def test_operator_on_rows(spark):
     got = sorted((tuple(r) for r in utc_instants(df, "rec_id", "published_at", "tz", "first").collect()), key=str)
     assert got == sorted([(1, us(2023, 1, 14)), (1, us(2023, 1, 14)), (None, us(2023, 1, 14))], key=str)
     assert utc_instants(df.limit(0), "rec_id", "published_at", "tz", "first").collect() == []
+
+
+def test_long_texts_are_read_whole():
+    """No length ends a text: zone names, fractions and spelled dates of 65 to 120 characters and more."""
+    texts = {
+        "2026-09-30 11:59:59.123456-03:00 [America/Argentina/Buenos_Aires]": "2026-09-30T14:59:59.123456",
+        "30 September 2026 11:59:59 -03:00 [America/Argentina/Buenos_Aires]": "2026-09-30T14:59:59",
+        "Wednesday, 30 September 2026 11:59:59.123456789 [America/Argentina/Buenos_Aires]": "2026-09-30T14:59:59.123456",
+        "2026-09-30 11:59:59." + "1" * 100 + "Z": "2026-09-30T11:59:59.111111",
+        "2026-09-30 11:59:59." + "1" * 3000 + "Z": "2026-09-30T11:59:59.111111",
+        "1790000000." + "0" * 90 : "2026-09-21T14:13:20",
+    }
+    got = normalise_batch(list(texts), ["UTC"] * len(texts), [True] * len(texts))
+    for (text, want), us in zip(texts.items(), got, strict=True):
+        assert us is not None, text
+        assert datetime(1970, 1, 1) + timedelta(microseconds=us) == datetime.fromisoformat(want), text
+    assert normalise_batch(["x" * 200_000, "9" * 70, " " * 500], ["UTC"] * 3, [True] * 3) == [None] * 3
+
+
+def test_daylight_saving_goes_on_after_the_table():
+    zone = ZoneInfo("Europe/Berlin")
+    for year in (2099, 2100, 2101, 2437, 2499, 2500, 2873, 4100):
+        for month in (1, 3, 7, 10, 12):
+            wall = datetime(year, month, 29, 12, 30)
+            us = normalise_batch([wall.isoformat()], ["Europe/Berlin"], [True])[0]
+            want = wall.replace(tzinfo=zone).astimezone(UTC).replace(tzinfo=None)
+            assert datetime(1970, 1, 1) + timedelta(microseconds=us) == want, wall
