@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
@@ -10,6 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes from which a size is none: the optimizer's guess for data without statistics.
+UNKNOWN = 1e17
+_MADE: dict[str, SparkSession] = {}
+
+
 def local_session(app: str = "quillspan", cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench. On a cluster the caller brings its own."""
     return (
@@ -19,6 +25,7 @@ def local_session(app: str = "quillspan", cores: int | str = 8, shuffle_partitio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("QUILLSPAN_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -54,8 +61,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for a written table in the shared folder; what is still there when the driver ends is deleted."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_remove_all)
+    _MADE[path] = spark
+    return path
+
+
+def _remove_all() -> None:
+    for path, spark in list(_MADE.items()):
+        try:
+            remove(spark, path)
+        except Exception:  # the session is gone
+            return
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -63,16 +82,20 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _MADE.pop(path, None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def input_mb(df: DataFrame) -> float:
-    """Megabytes of df's sources by the optimizer's statistics; decides only how finely work is divided."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(float(str(size)) / 1e6, 1e9)
+def input_mb(df: DataFrame, row_bytes: int = 256) -> float:
+    """Megabytes of df's sources by the optimizer's statistics, or by a count of rows where it has none.
+
+    Decides only how finely work is divided.
+    """
+    size = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return (size if size < UNKNOWN else df.count() * row_bytes) / 1e6
 
 
 def shuffle_parts(spark: SparkSession) -> int:
