@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,14 +10,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.blobs import BLOB_SCHEMA, Rolling, U, blob_batch, bucket_of, by_bucket, code_points, deltas, mix, pack, text_batches, undelta, unpack
-from quillspan.session import input_mb, shuffle_parts
+from quillspan.llm.blobs import BLOB_SCHEMA, Rolling, U, blob_batch, bucket_of, by_bucket, code_points, deltas, groups, mix, pack, text_batches, undelta, unpack
+from quillspan.session import cut, input_mb, scratch, shuffle_parts
 
-#: Rows of a signature, and how many of them make one posted coordinate.
-ROWS, PER_COORDINATE = 192, 3
-#: Standard deviations below the expected agreement at the threshold down to which pairs stay.
-SLACK = 3.7
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Coordinates of a signature, and how many minima make one.
+COORDINATES, PER_COORDINATE = 128, 4
+#: The chance to be missed that a pair at the threshold may have: it sets how many collisions a pair must have.
+MISS = 3e-4
+#: A list of more texts than this is not joined where it is met but dealt out in tiles of so many.
+LONG = 512
+#: Texts whose postings a task holds before it sends them, pairs it holds before it counts and passes them on.
+HELD_TEXTS, HELD_PAIRS = 100_000, 1 << 20
+#: Megabytes of input a bucket, and the most buckets.
+BUCKET_MB, MOST_BUCKETS = 4, 200_000
+#: Bits of a sketch (a multiple of 64) and standard deviations of slack, for pairs of long lists.
+BITS, SLACK = 192, 3.7
+#: Copies of one text that meet all others in one task.
+SHARE_OF_CLASS = 2048
+#: Bits of the filter that keeps texts without a pair out of a shuffle.
+FILTER_BITS = 1 << 23
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
+PAIRS_SQL = "a long, b long, n int"
 
 
 def normal_words(*cols: str) -> Column:
@@ -45,84 +59,190 @@ def shingle_hashes(texts: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
     return h, count
 
 
-def signatures(h: np.ndarray, count: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """The least value of each hash function over each text's shingles; texts must have one shingle at least."""
+def signatures(h: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
+    """The least value of each of rows (an even number) hash functions over each text's shingles; texts must have one shingle at least.
+
+    A 64-bit product gives two functions, its halves.
+    """
     first = np.cumsum(count) - count
     rng = np.random.default_rng(20240229)  # the same functions in every task
-    salt, factor = rng.integers(0, 2**64, rows, dtype=U), rng.integers(0, 2**64, rows, dtype=U) | U(1)
-    out = np.empty((rows, len(count)), dtype=U)
-    for r in range(rows):
-        out[r] = np.minimum.reduceat((h ^ salt[r]) * factor[r], first)
+    salt, factor = rng.integers(0, 2**64, rows // 2, dtype=U), rng.integers(0, 2**64, rows // 2, dtype=U) | U(1)
+    out = np.empty((rows, len(count)), dtype=np.uint32)
+    for r in range(rows // 2):
+        halves = ((h ^ salt[r]) * factor[r]).view(np.uint32).reshape(-1, 2)
+        out[2 * r] = np.minimum.reduceat(np.ascontiguousarray(halves[:, 0]), first)
+        out[2 * r + 1] = np.minimum.reduceat(np.ascontiguousarray(halves[:, 1]), first)
+    return out
+
+
+def coordinate_values(sig: np.ndarray) -> np.ndarray:
+    """One 64-bit value per text and coordinate, of PER_COORDINATE rows of the signature each."""
+    rows, n = sig.shape
+    out = np.empty((n, rows // PER_COORDINATE), dtype=U)
+    for c in range(rows // PER_COORDINATE):
+        part = sig[c * PER_COORDINATE : (c + 1) * PER_COORDINATE].astype(U)
+        v = np.full(n, c, dtype=U)
+        for k in range(0, PER_COORDINATE, 2):  # two minima are one 64-bit number
+            v = mix(v * U(0x9E3779B97F4A7C15) + (part[k] << U(32) | part[k + 1]), 13)
+        out[:, c] = v
     return out
 
 
+def fewest_collisions(threshold: float) -> int:
+    """How many coordinates two texts of this similarity have in common, but with a chance of MISS."""
+    p, below, m = threshold**PER_COORDINATE, 0.0, 0
+    while m < COORDINATES:
+        below += math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if below > MISS:
+            break
+        m += 1
+    return max(1, m)
+
+
 def _post(run: int, buckets: int):
+    """Post every text under each of its coordinates, packed by bucket."""
+
+    def send(ids: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        _, one = np.unique(ids, return_index=True)
+        ids, value = ids[one], value[one].reshape(-1)
+        doc = np.repeat(np.arange(len(ids)), COORDINATES)
+        rows = []
+        for b, k in by_bucket(bucket_of(value, buckets), buckets):
+            used, at = np.unique(doc[k], return_inverse=True)
+            rows.append((b, pack(ids[used], deltas(at), (value[k] & U(0xFFFFFFFF)).astype(np.uint32))))
+        return blob_batch(rows)
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for ids, texts in text_batches(batches):
-            _, one = np.unique(ids, return_index=True)
-            ids, texts = ids[one], [texts[i] for i in one]
             h, count = shingle_hashes(texts, run)
             some = np.flatnonzero(count)
-            if not len(some):
-                continue
-            sig = signatures(h, count[some])
-            ids = ids[some]
-            n = len(ids)
-            bits = (mix(sig, 11) & U(1)).astype(np.uint8).T
-            sketch = np.ascontiguousarray(np.packbits(bits, axis=1)).view(U)
-            value = np.empty((n, ROWS // PER_COORDINATE), dtype=U)
-            for c in range(ROWS // PER_COORDINATE):
-                v = np.full(n, c, dtype=U)
-                for k in range(PER_COORDINATE):
-                    v = mix(v * U(0x9E3779B97F4A7C15) + sig[c * PER_COORDINATE + k], 13)
-                value[:, c] = v
-            value = value.reshape(-1)
-            doc = np.repeat(np.arange(n), ROWS // PER_COORDINATE)
-            rows = []
-            for b, k in by_bucket(bucket_of(value, buckets), buckets):
-                used, at = np.unique(doc[k], return_inverse=True)
-                low = (value[k] & U(0xFFFFFFFF)).astype(np.uint32)
-                rows.append((b, pack(ids[used], *(np.ascontiguousarray(sketch[used, w]) for w in range(sketch.shape[1])), deltas(at), low)))
-            yield blob_batch(rows)
+            if len(some):
+                held.append((ids[some], coordinate_values(signatures(h, count[some], COORDINATES * PER_COORDINATE))))
+            if sum(len(i) for i, _ in held) >= HELD_TEXTS:
+                yield send(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+        if held:
+            yield send(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return step
 
 
-def _meet(fewest: int):
-    """One bucket: pairs that share a coordinate and whose signatures agree in fewest rows or more."""
+def _counted(ids: np.ndarray, pairs: list[np.ndarray]) -> pa.RecordBatch:
+    pair, n = np.unique(np.concatenate(pairs), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids[pair >> 32]), pa.array(ids[pair & 0xFFFFFFFF]), pa.array(n.astype(np.int32))], schema=PAIRS)
+
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, sketches, docs, values, base = [], [], [], [], 0
-        for blob in table.column("blob"):
-            i, *s, at, v = unpack(blob.as_py())
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket: pairs of texts that meet, with the number of their collisions here, and the members of long lists.
+
+    A member of a long list is the row (text, name of the list, 0). Pairs are counted and passed on in batches.
+    """
+    ids, docs, values, base = [], [], [], 0
+    for b in batches:
+        for blob in b.column("blob"):
+            i, at, v = unpack(blob.as_py())
             ids.append(i)
-            sketches.append(np.stack(s, axis=1))
             docs.append(undelta(at) + base)
             values.append(v)
             base += len(i)
-        ids, where, rank = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
-        sketch = np.concatenate(sketches)[where]
-        key = (np.concatenate(values).astype(U) << U(32)) | rank[np.concatenate(docs)].astype(U)
-        key = np.unique(key)  # copies of a text post the same coordinates; one of each stays
-        value, doc = key >> U(32), (key & U(0xFFFFFFFF)).astype(np.int64)
-        found = []
-        at, step = np.arange(len(key) - 1), 1
-        while len(at):
-            at = at[at + step < len(key)]
-            at = at[value[at] == value[at + step]]
-            for lo in range(0, len(at), 1 << 20):  # a long posting list is joined in tiles
-                i = at[lo : lo + (1 << 20)]
-                a, b = doc[i], doc[i + step]
-                differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
-                close = differ <= ROWS - fewest
-                found.append((a[close] << 32) | b[close])
-            step += 1
-        pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return pa.table({"a": ids[pair >> 32], "b": ids[pair & 0xFFFFFFFF]}, schema=PAIRS)
+    ids, rank = np.unique(np.concatenate(ids), return_inverse=True)
+    key = (np.concatenate(values).astype(U) << U(32)) | rank[np.concatenate(docs)].astype(U)
+    del docs, values
+    key.sort()
+    key = key[groups(key)]  # copies of a text post the same coordinates; one of each stays
+    value, doc = key >> U(32), (key & U(0xFFFFFFFF)).astype(np.int64)
+    head = groups(value)
+    size = np.diff(np.append(head, len(value)))
+    long = np.repeat(size > LONG, size)
+    if long.any():
+        name = (value[long].astype(np.int64) << 31) ^ int(ids[0])  # with the bucket's least text, so other buckets' lists differ
+        yield pa.RecordBatch.from_arrays([pa.array(ids[doc[long]]), pa.array(name), pa.array(np.zeros(len(name), np.int32))], schema=PAIRS)
+    found: list[np.ndarray] = []
+    n, step = 0, 1
+    at = np.flatnonzero(np.repeat((size > 1) & (size <= LONG), size))
+    while len(at):
+        at = at[at + step < len(key)]
+        at = at[value[at] == value[at + step]]
+        for lo in range(0, len(at), HELD_PAIRS):
+            i = at[lo : lo + HELD_PAIRS]
+            found.append((doc[i] << 32) | doc[i + step])
+            n += len(i)
+            if n >= HELD_PAIRS:
+                yield _counted(ids, found)
+                found, n = [], 0
+        step += 1
+    if found:
+        yield _counted(ids, found)
+
+
+def _sketch(run: int):
+    """A bit of each of BITS minima, as whole numbers."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in text_batches(batches):
+            h, count = shingle_hashes(texts, run)
+            some = np.flatnonzero(count)
+            bits = (mix(signatures(h, count[some], BITS).astype(U), 11) & U(1)).astype(np.uint8).T
+            words = np.packbits(bits, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([w.tobytes() for w in words], pa.binary())], names=["class", "sketch"])
+
+    return step
+
+
+def _tiles(fewest: int):
+    """Pairs of two tiles of a long list, or within one, whose sketches agree in fewest bits or more."""
+
+    def read(b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return b.column("class").to_numpy(), np.frombuffer(b"".join(b.column("sketch").to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1).view(U)
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))  # two tiles of some LONG texts
+        i, j = key[1].as_py(), key[2].as_py()
+        of = table.column("tile").to_numpy()
+        a, x = read(table.filter(pa.array(of == i)))
+        b, y = read(table.filter(pa.array(of == j)))
+        for k in range(len(a)):
+            differ = np.bitwise_count(y ^ x[k]).sum(axis=1, dtype=np.int64)
+            near = b[(differ <= BITS - fewest) & ((b > a[k]) if i == j else (b != a[k]))]
+            if len(near):
+                one = np.full(len(near), a[k])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, near)), pa.array(np.maximum(one, near)), pa.array(np.zeros(len(near), np.int32))], schema=PAIRS)
 
     return run
 
 
+def _of_long_lists(long: DataFrame, docs: DataFrame, run: int, threshold: float) -> DataFrame:
+    """Pairs of texts that share a long list, dealt out over tasks by pairs of tiles; no pair is left out but by its sketch."""
+    agree = BITS * (1 + threshold) / 2
+    fewest = int(agree - SLACK * (agree * (1 - threshold) / 2) ** 0.5)
+    sketches = docs.join(long.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("words").alias("words")).mapInArrow(_sketch(run), "class long, sketch binary")
+    tiles = long.groupBy("list").agg(F.ceil(F.count("*") / LONG).cast("int").alias("tiles"))
+    placed = long.join(tiles, "list").withColumn("tile", F.pmod(F.xxhash64("class"), "tiles").cast("int")).join(sketches, "class")
+    other = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cells = other.select("list", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"), "tile", "class", "sketch")
+    return cells.groupBy("list", "i", "j").applyInArrow(_tiles(fewest), PAIRS_SQL).select("a", "b")
+
+
+def _with_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The texts that may be in a pair: those a filter of a fixed size, built from the pairs, lets pass."""
+    bit = F.pmod(F.xxhash64("class"), F.lit(FILTER_BITS))
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).select(bit.alias("bit"))
+    words = ends.groupBy(F.expr("cast(bit div 64 AS int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits"))
+    held = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for r in words.toLocalIterator():  # FILTER_BITS / 64 rows at most
+        held[r["w"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(held)  # a megabyte
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            k = b.column("bit").to_numpy()
+            yield b.filter(pa.array((bits[k >> 6] >> (k & 63)) & 1 == 1)).select(["class", "words"])
+
+    return docs.select("class", "words", bit.alias("bit")).mapInArrow(run, "class long, words string")
+
+
 def _verify(run: int, threshold: float):
     """Exact Jaccard similarity of the two texts' sets of word runs."""
 
@@ -159,28 +279,34 @@ def near_duplicates(df: DataFrame, ident: str, cols: list[str], threshold: float
     fewer words than run have no set of runs: they are members of a class but have no links. Rows with a null
     ident are left out; repeated rows count once; other columns are pruned; an empty table gives empty results.
 
-    Signature-coordinate inverted join. A signature holds the minima of 192 hash functions. Three in turn form
-    a coordinate, and each text is posted under each of its 64 coordinate-value pairs. These are the prefix:
-    two texts must meet in one of them. The remaining work is skipped over: lists are not merged further to
-    count the collisions of a pair, the agreement of its rows is counted at once on one bit of each row, which
-    travels with the postings, and pairs whose agreement is 3.7 standard deviations below that expected at the
-    threshold are dropped. Of two texts with similarity s the chance to be missed is about (1 - s^3)^64 plus
-    1e-4 at the threshold itself: 3e-4 at 0.5, under 1e-4 from 0.55 on. Similarity is then computed from the
-    texts. Copies, even a third of all rows, post the same class and collapse in each batch and bucket. A list
-    that many different texts share is joined in tiles of bounded memory.
+    Signature-coordinate inverted join. A signature holds the minima of 512 hash functions; four in turn form a
+    coordinate, and each text is posted under each of its 128 coordinate-value pairs. Collisions are counted per
+    pair, and pairs with as many as two texts at the threshold have but with a chance of 3e-4 (1 at 0.5, 33 at 0.8)
+    are retained: with 1 they are just met, with more the count drops what is less similar. Similarity is then
+    computed from the texts. Copies, even a third of all rows, post the same class and collapse in each batch and
+    bucket. A list of more than 512 different texts, a coordinate that many share, is dealt out over tasks by pairs
+    of tiles, where pairs that can't be similar by 192 one-bit collisions (3.7 standard deviations) are skipped.
     """
     spark = df.sparkSession
-    docs = df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), normal_words(*cols).alias("words")).withColumn("class", F.xxhash64("words"))
-    buckets = max(shuffle_parts(spark), int(input_mb(df) / 16))
-    agree = ROWS * (1 + threshold) / 2
-    fewest = int(agree - SLACK * (ROWS * (1 + threshold) / 2 * (1 - threshold) / 2) ** 0.5)
-    posted = docs.select("class", "words").mapInArrow(_post(run, buckets), BLOB_SCHEMA)
-    pairs = posted.groupBy("bucket").applyInArrow(_meet(fewest), "a long, b long").distinct()
-    texts = docs.groupBy("class").agg(F.min("words").alias("words"))
+    docs = df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), normal_words(*cols).alias("words"))
+    path = scratch(spark, "texts")  # normal forms are made once
+    docs.select("id", F.xxhash64("words").alias("class"), (F.size(F.split("words", " ")) >= run).alias("has_runs"), "words").write.parquet(path)
+    docs = spark.read.parquet(path)
+    buckets = max(1, min(int(input_mb(df) / BUCKET_MB), MOST_BUCKETS))
+    buckets = max(shuffle_parts(spark), buckets)
+    posted = docs.where("has_runs").select("class", "words").mapInArrow(_post(run, buckets), BLOB_SCHEMA)
+    met = cut(posted.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, PAIRS_SQL))
+    counted = met.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = counted.where(F.col("n") >= fewest_collisions(threshold)).select("a", "b")
+    long = met.where("n = 0").select(F.col("a").alias("class"), F.col("b").alias("list"))
+    if not long.isEmpty():
+        pairs = pairs.union(_of_long_lists(long, docs, run, threshold)).distinct()
+    pairs = cut(pairs)
+    texts = _with_pairs(pairs, docs).groupBy("class").agg(F.min("words").alias("words"))
     first = pairs.join(texts.select(F.col("class").alias("a"), F.col("words").alias("ta")), "a")
     both = first.join(texts.select(F.col("class").alias("b"), F.col("words").alias("tb")), "b")
     links = both.select("a", "b", "ta", "tb").mapInArrow(_verify(run, threshold), "a long, b long, similarity double")
-    members = docs.select(F.col("id").alias(ident), "class", (F.size(F.split("words", " ")) >= run).alias("has_runs")).distinct()
+    members = docs.select(F.col("id").alias(ident), "class", "has_runs").distinct()
     return links, members
 
 
@@ -194,6 +320,10 @@ def near_duplicate_pairs(df: DataFrame, ident: str, cols: list[str], threshold:
     m = members.where("has_runs")
     x, y = (m.select(F.col(ident).alias(i), F.col("class").alias(c)) for i, c in (("x", "a"), ("y", "b")))
     between = links.select("a", "b").join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    z = m.select(F.col(ident).alias("y"), F.col("class").alias("a"))
-    within = x.join(z, "a").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # a class of k copies is k (k - 1) / 2 pairs: its members meet in parts, so that no task has a whole crowd
+    crowd = m.groupBy("class").agg(F.count("*").alias("k")).where("k > 1").select("class", F.ceil(F.col("k") / SHARE_OF_CLASS).cast("int").alias("parts"))
+    z = m.join(crowd, "class").select(F.col(ident).alias("x"), "class", "parts")
+    one = z.withColumn("part", F.pmod(F.xxhash64("x"), "parts").cast("int"))
+    every = z.select(F.col("x").alias("y"), "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    within = one.join(every, ["class", "part"]).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return between.union(within).distinct()

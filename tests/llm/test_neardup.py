@@ -79,3 +79,25 @@ def test_a_third_are_copies_of_one_text(spark):
 
 def test_empty(spark):
     assert near_duplicate_pairs(frame(spark, []), "i", ["title", "text"], 0.5, 3).collect() == []
+
+
+def test_a_list_that_many_texts_share(spark, tmp_path):
+    """Seven hundred different texts around one core: lists too long to be joined where they are met; from a file."""
+    rng = random.Random(2)
+    core = [f"core{k}" for k in range(40)]
+    rows = [(i, "", " ".join(core + [f"t{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 16))])) for i in range(700)]
+    rows += [(1000 + i, "", " ".join(f"u{rng.randrange(10**6)}" for _ in range(30))) for i in range(50)] + [(2000, "", rows[0][2])]
+    path = str(tmp_path / "in.parquet")
+    frame(spark, rows).write.parquet(path)
+    got = {tuple(r) for r in near_duplicate_pairs(spark.read.parquet(path), "i", ["title", "text"], 0.5, 3).collect()}
+    expected = brute(rows, 0.5, 3)
+    assert got <= expected and len(expected - got) <= 0.001 * len(expected)
+
+
+def test_copies_beyond_one_part(spark, monkeypatch):
+    from quillspan.llm import neardup
+
+    monkeypatch.setattr(neardup, "SHARE_OF_CLASS", 7)
+    rows = [(i, "one two three four", f"x{i % 2}") for i in range(40)]
+    got = {tuple(r) for r in near_duplicate_pairs(frame(spark, rows), "i", ["title", "text"], 0.9, 3).collect()}
+    assert got == {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 2 == b % 2}
