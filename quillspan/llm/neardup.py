@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.blobs import BLOB_SCHEMA, Rolling, U, blob_batch, bucket_of, by_bucket, code_points, deltas, groups, mix, pack, text_batches, undelta, unpack
+from quillspan.llm.filters import only_keys_of
 from quillspan.session import cut, input_mb, scratch, shuffle_parts
 
 #: Coordinates of a signature, and how many minima make one.
@@ -27,8 +28,6 @@ BUCKET_MB, MOST_BUCKETS = 4, 200_000
 BITS, SLACK = 192, 3.7
 #: Copies of one text that meet all others in one task.
 SHARE_OF_CLASS = 2048
-#: Bits of the filter that keeps texts without a pair out of a shuffle.
-FILTER_BITS = 1 << 23
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
 PAIRS_SQL = "a long, b long, n int"
 
@@ -224,25 +223,6 @@ def _of_long_lists(long: DataFrame, docs: DataFrame, run: int, threshold: float)
     return cells.groupBy("list", "i", "j").applyInArrow(_tiles(fewest), PAIRS_SQL).select("a", "b")
 
 
-def _with_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The texts that may be in a pair: those a filter of a fixed size, built from the pairs, lets pass."""
-    bit = F.pmod(F.xxhash64("class"), F.lit(FILTER_BITS))
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).select(bit.alias("bit"))
-    words = ends.groupBy(F.expr("cast(bit div 64 AS int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits"))
-    held = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in words.toLocalIterator():  # FILTER_BITS / 64 rows at most
-        held[r["w"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(held)  # a megabyte
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for b in batches:
-            k = b.column("bit").to_numpy()
-            yield b.filter(pa.array((bits[k >> 6] >> (k & 63)) & 1 == 1)).select(["class", "words"])
-
-    return docs.select("class", "words", bit.alias("bit")).mapInArrow(run, "class long, words string")
-
-
 def _verify(run: int, threshold: float):
     """Exact Jaccard similarity of the two texts' sets of word runs."""
 
@@ -302,7 +282,8 @@ def near_duplicates(df: DataFrame, ident: str, cols: list[str], threshold: float
     if not long.isEmpty():
         pairs = pairs.union(_of_long_lists(long, docs, run, threshold)).distinct()
     pairs = cut(pairs)
-    texts = _with_pairs(pairs, docs).groupBy("class").agg(F.min("words").alias("words"))
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b"))
+    texts = only_keys_of(ends, "class", docs.select("class", "words"), "class").groupBy("class").agg(F.min("words").alias("words"))
     first = pairs.join(texts.select(F.col("class").alias("a"), F.col("words").alias("ta")), "a")
     both = first.join(texts.select(F.col("class").alias("b"), F.col("words").alias("tb")), "b")
     links = both.select("a", "b", "ta", "tb").mapInArrow(_verify(run, threshold), "a long, b long, similarity double")

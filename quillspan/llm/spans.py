@@ -25,7 +25,8 @@ from quillspan.llm.blobs import (
     undelta,
     unpack,
 )
-from quillspan.session import input_mb, shuffle_parts
+from quillspan.llm.filters import only_keys_of
+from quillspan.session import cut, input_mb, shuffle_parts
 
 #: Perfect difference sets, period -> members. Any two residues are a member plus one same shift.
 DIFFERENCE_SETS = {
@@ -38,19 +39,32 @@ DIFFERENCE_SETS = {
     73: (0, 1, 3, 7, 15, 31, 36, 54, 63),
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
 }
+#: Megabytes of input a bucket, the most buckets, and the anchors a task holds before it sends them.
+BUCKET_MB, MOST_BUCKETS, HELD_ANCHORS = 2, 200_000, 2_000_000
 RUNS = "doc_id long, runs array<int>"
 ARROW_RUNS = pa.schema([("doc_id", pa.int64()), ("runs", pa.list_(pa.int32()))])
 
 
-def _post(ids, doc, pos, h, bucket, buckets: int, bits: int) -> list[tuple[int, bytes]]:
+def _equal(h: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal hashes together, and where each group of them begins; check holds further bits of each."""
+    order = np.argsort(h, kind="stable")
+    if check is not None and len(h):
+        s, c = h[order], check[order]
+        if ((s[1:] == s[:-1]) & (c[1:] != c[:-1])).any():
+            order = np.lexsort((check, h))
+            s, c = h[order], check[order]
+        return order, np.concatenate(([0], np.flatnonzero((s[1:] != s[:-1]) | (c[1:] != c[:-1])) + 1))
+    return order, groups(h[order])
+
+
+def _post(ids, doc, pos, h, bucket, buckets: int, bits: int, check=None) -> list[tuple[int, bytes]]:
     """The blobs of one batch of hashed windows.
 
     A hash that several records of this batch have is settled here: its windows are shared, and one entry
     without a place tells the other batches of it. So a window that a third of all records hold sends one
-    entry a batch. All other entries carry record and place.
+    entry a batch. All other entries carry record and place. check holds further bits of each hash.
     """
-    order = np.argsort(h, kind="stable")
-    first = groups(h[order])
+    order, first = _equal(h, check)
     d = ids[doc[order]]
     many = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(first) else np.zeros(0, bool)
     settled = np.zeros(len(h), dtype=bool)
@@ -58,6 +72,7 @@ def _post(ids, doc, pos, h, bucket, buckets: int, bits: int) -> list[tuple[int,
     rep = order[first[many]]
     out: list[tuple[int, bytes]] = []
     cut = (lambda x: (x & U(0xFFFFFFFF)).astype(np.uint32)) if bits == 32 else (lambda x: x)
+    more = (lambda k: check[k]) if check is not None else (lambda k: np.zeros(0, np.uint32))
     none = np.zeros(0, dtype=np.int64)
     rep_parts = dict(by_bucket(bucket[rep], buckets)) if len(rep) else {}
     rest = np.flatnonzero(~settled)
@@ -66,7 +81,7 @@ def _post(ids, doc, pos, h, bucket, buckets: int, bits: int) -> list[tuple[int,
         k = rest[rest_parts[b]] if b in rest_parts else none
         r = rep[rep_parts[b]] if b in rep_parts else none
         used, at = np.unique(doc[k], return_inverse=True)
-        out.append((b, pack(np.array([0], np.uint8), cut(h[k]), cut(h[r]), deltas(ids[used]), deltas(at), deltas(pos[k]))))
+        out.append((b, pack(np.array([0], np.uint8), cut(h[k]), more(k), cut(h[r]), more(r), deltas(ids[used]), deltas(at), deltas(pos[k]))))
     known = np.flatnonzero(settled)
     if len(known):
         used, at = np.unique(doc[known], return_inverse=True)
@@ -93,37 +108,37 @@ def _runs(doc_ids: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rd[g]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=ARROW_RUNS)
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bucket: the places whose hash another record has too."""
-    hs, ds, ps, reps, got_d, got_p = [], [], [], [], [], []
-    for blob in table.column("blob"):
+    hs, cs, ds, ps, is_rep, got_d, got_p = [], [], [], [], [], [], []
+    for blob in (x for b in batches for x in b.column("blob")):
         kind, *a = unpack(blob.as_py())
         if kind[0]:
             ids, at, pos = map(undelta, a)
             got_d.append(ids[at])
             got_p.append(pos)
-        else:
-            h, r, ids, at, pos = a[0], a[1], *map(undelta, a[2:])
-            hs.append(h)
-            ds.append(ids[at] if len(at) else np.zeros(0, np.int64))
-            ps.append(pos)
-            reps.append(r)
-    if hs:
-        h, d, p, r = map(np.concatenate, (hs, ds, ps, reps))
-        if len(h):
-            order = np.argsort(h, kind="stable")
-            sh, sd = h[order], d[order]
-            first = groups(sh)
-            size = np.diff(np.append(first, len(sh)))
-            shared = np.minimum.reduceat(sd, first) != np.maximum.reduceat(sd, first)
-            if len(r):
-                shared |= np.isin(sh[first], r)
-            yes = order[np.repeat(shared, size)]
-            got_d.append(d[yes])
-            got_p.append(p[yes])
+            continue
+        h, c, r, rc, ids, at, pos = a[0], a[1], a[2], a[3], *map(undelta, a[4:])
+        hs += [h, r]
+        cs += [c, rc]
+        ds += [ids[at] if len(at) else np.zeros(0, np.int64), np.zeros(len(r), np.int64)]
+        ps += [pos, np.zeros(len(r), np.int64)]
+        is_rep += [np.zeros(len(h), bool), np.ones(len(r), bool)]
+    if sum(map(len, hs)):
+        h, c, d, p, rep = map(np.concatenate, (hs, cs, ds, ps, is_rep))
+        order, first = _equal(h, c if len(c) else None)
+        sd, told = d[order], rep[order]
+        size = np.diff(np.append(first, len(h)))
+        # shared: records differ, or an entry tells that some batch has it more than once
+        big = np.iinfo(np.int64)
+        least, most = np.where(told, big.max, sd), np.where(told, big.min, sd)
+        shared = np.logical_or.reduceat(told, first) | (np.minimum.reduceat(least, first) != np.maximum.reduceat(most, first))
+        yes = order[np.repeat(shared, size) & ~told]
+        got_d.append(d[yes])
+        got_p.append(p[yes])
     d = np.concatenate(got_d) if got_d else np.zeros(0, np.int64)
     p = np.concatenate(got_p) if got_p else np.zeros(0, np.int64)
-    return pa.Table.from_batches([_runs(d, p)])
+    yield _runs(d, p)
 
 
 def _anchors(period: int, width: int, buckets: int):
@@ -131,18 +146,27 @@ def _anchors(period: int, width: int, buckets: int):
     covered = np.zeros(period, dtype=bool)
     covered[list(DIFFERENCE_SETS[period])] = True
 
+    def send(held: list[tuple]) -> pa.RecordBatch:
+        base = np.cumsum([0] + [len(x[0]) for x in held])
+        ids, pos, h = (np.concatenate([x[k] for x in held]) for k in (0, 2, 3))
+        doc = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
+        return blob_batch(_post(ids, doc, pos, h, bucket_of(h, buckets), buckets, 32))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for ids, texts in text_batches(batches):
             points, lens = code_points(texts)
             starts = np.cumsum(lens) - lens
             doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
             rel = np.arange(len(points), dtype=np.int64) - starts[doc]
             at = np.flatnonzero(covered[rel % period] & (rel + width <= lens[doc]))
-            if not len(at):
-                continue
-            h = Rolling(points).at(at, width)
-            rows = _post(ids, doc[at], rel[at], h, bucket_of(h, buckets), buckets, 32)
-            yield blob_batch(rows)
+            if len(at):
+                held.append((ids, doc[at].astype(np.int64), rel[at], Rolling(points).at(at, width)))
+            if sum(len(x[3]) for x in held) >= HELD_ANCHORS:
+                yield send(held)
+                held = []
+        if held:
+            yield send(held)
 
     return run
 
@@ -213,7 +237,7 @@ def _extend(length: int, width: int, buckets: int):
             # Neighbouring windows share their least gram, so their places stay together as runs.
             grams = roll.at(np.arange(len(points) - gram + 1), gram)
             least = mix(_window_min(grams, length - gram + 1)[at])
-            rows += _post(ids[k], doc, at - starts[doc], h, bucket_of(least, buckets), buckets, 64)
+            rows += _post(ids[k], doc, at - starts[doc], h, bucket_of(least, buckets), buckets, 64, (least & U(0xFFFFFFFF)).astype(np.uint32))
         return pa.Table.from_batches([blob_batch(rows)])
 
     return run
@@ -256,21 +280,23 @@ def shared_spans(df: DataFrame, ident: str, text: str, length: int = 200) -> Dat
     an anchor at the same offset, so both records meet in that anchor's bucket. Around anchors met, all
     windows of full length that contain the anchor are hashed and meet again, which extends each match to
     its exact ends; the work is linear in the shared text, and no pairs are formed. A window held by many
-    records is settled within each batch first and sends one entry on (see _post). Windows of full length
-    are compared by 64-bit hashes within the bucket of their least gram.
+    records is settled within each batch first and sends one entry on (see _post). Only texts with an anchor met are
+    moved. Windows of full length are compared by a 64-bit hash and, apart from that, by the hash of their least
+    gram: its high half chooses the bucket and its low half must agree.
     """
     period = max(v for v in DIFFERENCE_SETS if v <= (length + 1) // 2)
     width = length - period + 1
     rows = df.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).where(f"doc_id IS NOT NULL AND char_length(text) >= {length}")
     spark = df.sparkSession
-    buckets = max(shuffle_parts(spark), int(input_mb(df) / 2))
-    met = rows.mapInArrow(_anchors(period, width, buckets), BLOB_SCHEMA).groupBy("bucket").applyInArrow(_meet, RUNS)
-    packed = rows.mapInArrow(_texts(buckets), BLOB_SCHEMA)
+    buckets = max(shuffle_parts(spark), min(int(input_mb(df) / BUCKET_MB), MOST_BUCKETS))
+
+    def by_bucket_of(blobs: DataFrame):
+        return blobs.repartition(buckets, "bucket").groupBy("bucket")
+
+    met = cut(by_bucket_of(rows.mapInArrow(_anchors(period, width, buckets), BLOB_SCHEMA)).applyInArrow(_meet, RUNS))
+    packed = only_keys_of(met, "doc_id", rows, "doc_id").mapInArrow(_texts(buckets), BLOB_SCHEMA)
     here = met.withColumn("bucket", F.pmod("doc_id", F.lit(buckets)).cast("int"))
-    windows = here.groupBy("bucket").cogroup(packed.groupBy("bucket")).applyInArrow(_extend(length, width, buckets), BLOB_SCHEMA)
-    found = windows.groupBy("bucket").applyInArrow(_meet, RUNS)
-    return (
-        found.withColumn("bucket", F.pmod("doc_id", F.lit(buckets)).cast("int"))
-        .groupBy("bucket")
-        .applyInArrow(_merge(length), "doc_id long, span_start long, span_end long")
-    )
+    windows = by_bucket_of(here).cogroup(by_bucket_of(packed)).applyInArrow(_extend(length, width, buckets), BLOB_SCHEMA)
+    found = by_bucket_of(windows).applyInArrow(_meet, RUNS)
+    last = found.withColumn("bucket", F.pmod("doc_id", F.lit(buckets)).cast("int"))
+    return by_bucket_of(last).applyInArrow(_merge(length), "doc_id long, span_start long, span_end long")

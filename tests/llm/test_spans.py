@@ -95,3 +95,15 @@ def test_rolling_hash_depends_on_the_window_only():
         seen.setdefault(tuple(x[k : k + 5]), set()).add(int(h[k]))
     assert all(len(v) == 1 for v in seen.values()) and len({min(v) for v in seen.values()}) == len(seen)
     assert spans._window_min(np.array([5, 3, 4, 1, 2, 9]), 3).tolist() == [3, 1, 1, 1]
+
+
+def test_hashes_that_collide_are_told_apart():
+    import numpy as np
+
+    from quillspan.llm.spans import _equal
+
+    h, check = np.array([5, 5, 5, 7, 5], dtype=np.uint64), np.array([1, 2, 1, 1, 2], dtype=np.uint32)
+    order, first = _equal(h, check)
+    assert [sorted(g.tolist()) for g in np.split(order, first[1:])] == [[0, 2], [1, 4], [3]]
+    order, first = _equal(h, None)
+    assert [sorted(g.tolist()) for g in np.split(order, first[1:])] == [[0, 1, 2, 4], [3]]
