@@ -18,6 +18,8 @@ from quillspan.session import cut, input_mb, scratch, shuffle_parts
 COORDINATES, PER_COORDINATE = 128, 4
 #: The chance to be missed that a pair at the threshold may have: it sets how many collisions a pair must have.
 MISS = 3e-4
+#: One-bit values of other minima that travel with a posting, and the part of a similar pair's collisions that must pass by them.
+NEAR_BITS, PASS = 16, 0.9
 #: A list of more texts than this is not joined where it is met but dealt out in tiles of so many.
 LONG = 512
 #: Texts whose postings a task holds before it sends them, pairs it holds before it counts and passes them on.
@@ -87,28 +89,41 @@ def coordinate_values(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def fewest_collisions(threshold: float) -> int:
-    """How many coordinates two texts of this similarity have in common, but with a chance of MISS."""
-    p, below, m = threshold**PER_COORDINATE, 0.0, 0
-    while m < COORDINATES:
-        below += math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
-        if below > MISS:
-            break
-        m += 1
-    return max(1, m)
+def near_bits(sig: np.ndarray) -> np.ndarray:
+    """For every text and coordinate, one bit of each of the NEAR_BITS minima that follow those of the coordinate."""
+    bit = (mix(sig.astype(U), 11) & U(1)).astype(np.uint16)
+    out = np.zeros((sig.shape[1], len(sig) // PER_COORDINATE), dtype=np.uint16)
+    for c in range(out.shape[1]):
+        for k in range(NEAR_BITS):
+            out[:, c] |= bit[((c + 1) * PER_COORDINATE + k) % len(sig)] << np.uint16(k)
+    return out
+
+
+def _most(n: int, p: float, chance: float) -> tuple[int, float]:
+    """The greatest m so that of n trials m succeed or more with this chance at least, and that chance."""
+    upper, m = 1.0, 0
+    while m < n and upper - (at := math.comb(n, m) * p**m * (1 - p) ** (n - m)) >= chance:
+        upper, m = upper - at, m + 1
+    return m, upper
+
+
+def collisions_needed(threshold: float) -> tuple[int, int]:
+    """How many bits of a posting must agree for a collision, and how many collisions a pair must have."""
+    bits, passed = _most(NEAR_BITS, (1 + threshold) / 2, PASS)
+    return bits, max(1, _most(COORDINATES, threshold**PER_COORDINATE * passed, 1 - MISS)[0])
 
 
 def _post(run: int, buckets: int):
     """Post every text under each of its coordinates, packed by bucket."""
 
-    def send(ids: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    def send(ids: np.ndarray, value: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
         _, one = np.unique(ids, return_index=True)
-        ids, value = ids[one], value[one].reshape(-1)
+        ids, value, near = ids[one], value[one].reshape(-1), near[one].reshape(-1)
         doc = np.repeat(np.arange(len(ids)), COORDINATES)
         rows = []
         for b, k in by_bucket(bucket_of(value, buckets), buckets):
             used, at = np.unique(doc[k], return_inverse=True)
-            rows.append((b, pack(ids[used], deltas(at), (value[k] & U(0xFFFFFFFF)).astype(np.uint32))))
+            rows.append((b, pack(ids[used], deltas(at), (value[k] & U(0xFFFFFFFF)).astype(np.uint32), near[k])))
         return blob_batch(rows)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +132,9 @@ def _post(run: int, buckets: int):
             h, count = shingle_hashes(texts, run)
             some = np.flatnonzero(count)
             if len(some):
-                held.append((ids[some], coordinate_values(signatures(h, count[some], COORDINATES * PER_COORDINATE))))
-            if sum(len(i) for i, _ in held) >= HELD_TEXTS:
+                sig = signatures(h, count[some], COORDINATES * PER_COORDINATE)
+                held.append((ids[some], coordinate_values(sig), near_bits(sig)))
+            if sum(len(x[0]) for x in held) >= HELD_TEXTS:
                 yield send(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held = []
         if held:
@@ -132,47 +148,53 @@ def _counted(ids: np.ndarray, pairs: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[pair >> 32]), pa.array(ids[pair & 0xFFFFFFFF]), pa.array(n.astype(np.int32))], schema=PAIRS)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: pairs of texts that meet, with the number of their collisions here, and the members of long lists.
+def _meet(fewest_bits: int):
+    """One bucket: pairs of texts that meet, with the number of their collisions here, and the members of long lists."""
 
-    A member of a long list is the row (text, name of the list, 0). Pairs are counted and passed on in batches.
-    """
-    ids, docs, values, base = [], [], [], 0
-    for b in batches:
-        for blob in b.column("blob"):
-            i, at, v = unpack(blob.as_py())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A member of a long list is the row (text, name of the list, 0). Pairs are counted and passed on in batches."""
+        ids, docs, values, bits, base = [], [], [], [], 0
+        for blob in (x for b in batches for x in b.column("blob")):
+            i, at, v, near = unpack(blob.as_py())
             ids.append(i)
             docs.append(undelta(at) + base)
             values.append(v)
+            bits.append(near)
             base += len(i)
-    ids, rank = np.unique(np.concatenate(ids), return_inverse=True)
-    key = (np.concatenate(values).astype(U) << U(32)) | rank[np.concatenate(docs)].astype(U)
-    del docs, values
-    key.sort()
-    key = key[groups(key)]  # copies of a text post the same coordinates; one of each stays
-    value, doc = key >> U(32), (key & U(0xFFFFFFFF)).astype(np.int64)
-    head = groups(value)
-    size = np.diff(np.append(head, len(value)))
-    long = np.repeat(size > LONG, size)
-    if long.any():
-        name = (value[long].astype(np.int64) << 31) ^ int(ids[0])  # with the bucket's least text, so other buckets' lists differ
-        yield pa.RecordBatch.from_arrays([pa.array(ids[doc[long]]), pa.array(name), pa.array(np.zeros(len(name), np.int32))], schema=PAIRS)
-    found: list[np.ndarray] = []
-    n, step = 0, 1
-    at = np.flatnonzero(np.repeat((size > 1) & (size <= LONG), size))
-    while len(at):
-        at = at[at + step < len(key)]
-        at = at[value[at] == value[at + step]]
-        for lo in range(0, len(at), HELD_PAIRS):
-            i = at[lo : lo + HELD_PAIRS]
-            found.append((doc[i] << 32) | doc[i + step])
-            n += len(i)
-            if n >= HELD_PAIRS:
-                yield _counted(ids, found)
-                found, n = [], 0
-        step += 1
-    if found:
-        yield _counted(ids, found)
+        ids, rank = np.unique(np.concatenate(ids), return_inverse=True)
+        key = (np.concatenate(values).astype(U) << U(32)) | rank[np.concatenate(docs)].astype(U)
+        del docs, values
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        one = groups(key)  # copies of a text post the same coordinates; one of each stays
+        key, near = key[one], np.concatenate(bits)[order[one]]
+        del order, bits
+        value, doc = key >> U(32), (key & U(0xFFFFFFFF)).astype(np.int64)
+        head = groups(value)
+        size = np.diff(np.append(head, len(value)))
+        long = np.repeat(size > LONG, size)
+        if long.any():
+            name = (value[long].astype(np.int64) << 31) ^ int(ids[0])  # with the bucket's least text, so other buckets' lists differ
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[long]]), pa.array(name), pa.array(np.zeros(len(name), np.int32))], schema=PAIRS)
+        found: list[np.ndarray] = []
+        n, step = 0, 1
+        at = np.flatnonzero(np.repeat((size > 1) & (size <= LONG), size))
+        while len(at):
+            at = at[at + step < len(key)]
+            at = at[value[at] == value[at + step]]
+            i = at[np.bitwise_count(near[at] ^ near[at + step]) <= NEAR_BITS - fewest_bits]
+            for lo in range(0, len(i), HELD_PAIRS):
+                k = i[lo : lo + HELD_PAIRS]
+                found.append((doc[k] << 32) | doc[k + step])
+                n += len(k)
+                if n >= HELD_PAIRS:
+                    yield _counted(ids, found)
+                    found, n = [], 0
+            step += 1
+        if found:
+            yield _counted(ids, found)
+
+    return run
 
 
 def _sketch(run: int):
@@ -260,35 +282,41 @@ def near_duplicates(df: DataFrame, ident: str, cols: list[str], threshold: float
     ident are left out; repeated rows count once; other columns are pruned; an empty table gives empty results.
 
     Signature-coordinate inverted join. A signature holds the minima of 512 hash functions; four in turn form a
-    coordinate, and each text is posted under each of its 128 coordinate-value pairs. Collisions are counted per
-    pair, and pairs with as many as two texts at the threshold have but with a chance of 3e-4 (1 at 0.5, 33 at 0.8)
-    are retained: with 1 they are just met, with more the count drops what is less similar. Similarity is then
-    computed from the texts. Copies, even a third of all rows, post the same class and collapse in each batch and
+    coordinate, and each text is posted under each of its 128 coordinate-value pairs. A posting carries one bit of
+    each of 16 other minima; a meeting in which too few of them agree is skipped (at most a tenth of those of similar
+    texts). Collisions are counted per pair, and pairs with as many as two texts at the threshold have but with a
+    chance of 3e-4 (31 at 0.8, the least of 1 at 0.5) are retained. Similarity is then computed from the texts. The
+    chance that a pair has none is 5e-4 at 0.5 and 1e-5 at 0.55. Copies, even a third of all rows, post the same class and collapse in each batch and
     bucket. A list of more than 512 different texts, a coordinate that many share, is dealt out over tasks by pairs
     of tiles, where pairs that can't be similar by 192 one-bit collisions (3.7 standard deviations) are skipped.
     """
     spark = df.sparkSession
+    bits, fewest = collisions_needed(threshold)
     docs = df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), normal_words(*cols).alias("words"))
-    path = scratch(spark, "texts")  # normal forms are made once
-    docs.select("id", F.xxhash64("words").alias("class"), (F.size(F.split("words", " ")) >= run).alias("has_runs"), "words").write.parquet(path)
-    docs = spark.read.parquet(path)
+    docs = docs.select("id", F.xxhash64("words").alias("class"), (F.size(F.split("words", " ")) >= run).alias("has_runs"), "words")
+    path = scratch(spark, "members")
+    docs.select("id", "class", "has_runs").write.parquet(path)
+    members = spark.read.parquet(path)
     buckets = max(1, min(int(input_mb(df) / BUCKET_MB), MOST_BUCKETS))
     buckets = max(shuffle_parts(spark), buckets)
     posted = docs.where("has_runs").select("class", "words").mapInArrow(_post(run, buckets), BLOB_SCHEMA)
-    met = cut(posted.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, PAIRS_SQL))
+    met = cut(posted.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(bits), PAIRS_SQL))
     counted = met.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = counted.where(F.col("n") >= fewest_collisions(threshold)).select("a", "b")
+    pairs = counted.where(F.col("n") >= fewest).select("a", "b")
     long = met.where("n = 0").select(F.col("a").alias("class"), F.col("b").alias("list"))
     if not long.isEmpty():
         pairs = pairs.union(_of_long_lists(long, docs, run, threshold)).distinct()
     pairs = cut(pairs)
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b"))
-    texts = only_keys_of(ends, "class", docs.select("class", "words"), "class").groupBy("class").agg(F.min("words").alias("words"))
+    # one record stands for a class: only its text is made again, and moved
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    heads = cut(members.join(ends, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).select("id"))
+    own = df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(cols)])
+    again = only_keys_of(heads, "id", own, "id").withColumn("words", normal_words(*[f"_{i}" for i in range(len(cols))]))
+    texts = again.select(F.xxhash64("words").alias("class"), "words").groupBy("class").agg(F.min("words").alias("words"))
     first = pairs.join(texts.select(F.col("class").alias("a"), F.col("words").alias("ta")), "a")
     both = first.join(texts.select(F.col("class").alias("b"), F.col("words").alias("tb")), "b")
     links = both.select("a", "b", "ta", "tb").mapInArrow(_verify(run, threshold), "a long, b long, similarity double")
-    members = docs.select(F.col("id").alias(ident), "class", "has_runs").distinct()
-    return links, members
+    return links, members.withColumnRenamed("id", ident).distinct()
 
 
 def near_duplicate_pairs(df: DataFrame, ident: str, cols: list[str], threshold: float = 0.8, run: int = 5) -> DataFrame:
