@@ -15,8 +15,10 @@ from quillspan.llm.radix import over_cap
 from quillspan.llm.spans import shared_spans
 from quillspan.llm.tokens import token_sizes
 from quillspan.llm.topn import top_n
-from quillspan.session import table
+from quillspan.session import cut, table
 
+#: Issues whose caps may be broadcast.
+BROADCAST_ROWS = 10_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -38,7 +40,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("issue_date", "cand_id", "best.source", "best.score")
     )
     n = one.groupBy("issue_date").agg(F.count("*").alias("n")).select("issue_date", F.greatest(F.lit(3), F.floor(F.col("n") / 25)).cast("long").alias("cap"))
-    return over_cap(one.where("source IS NOT NULL").join(n, "issue_date"), ["issue_date", "source"], "score", "cand_id", "cap").select("cand_id")
+    n = cut(n)  # a row an issue
+    caps = F.broadcast(n) if n.count() <= BROADCAST_ROWS else n
+    return over_cap(one.where("source IS NOT NULL").join(caps, "issue_date"), ["issue_date", "source"], "score", "cand_id", "cap").select("cand_id")
 
 
 SQL["p4_found"] = r"""

@@ -35,3 +35,29 @@ def test_a_group_with_a_third_of_all_rows(spark):
 def test_empty_and_no_rows_wanted(spark):
     assert run(spark, []) == []
     assert run(spark, [("a", 1, 1.0, 1, "")], 0) == []
+
+
+def test_stream_of_any_batches_passes_the_first_of_each_group():
+    """Groups that lie in several batches, identifiers that recur beside each other and apart."""
+    import pyarrow as pa
+
+    from quillspan.llm.topn import _emit
+
+    rng = random.Random(4)
+    for _ in range(300):
+        rows = [(g, rng.randrange(6)) for g in range(rng.randrange(1, 6)) for _ in range(rng.choice([1, 2, 9, 30]))]
+        n = rng.randrange(1, 5)
+        batches, k = [], 0
+        while k < len(rows):
+            step = rng.choice([0, 1, 2, 7, 40])
+            part = rows[k : k + step]
+            batches.append(pa.RecordBatch.from_pydict({"g": pa.array([g for g, _ in part], pa.int64()), "i": pa.array([i for _, i in part], pa.int64()), "at": pa.array(range(k, k + len(part)), pa.int64())}))
+            k += len(part)
+        got = [x for b in _emit(["g"], "i", n)(iter(batches)) for x in b.column("at").to_pylist()]
+        want, seen = [], {}
+        for at, (g, i) in enumerate(rows):
+            mine = seen.setdefault(g, set())
+            if len(mine) < n and i not in mine:
+                mine.add(i)
+                want.append(at)
+        assert got == want
