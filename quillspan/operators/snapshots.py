@@ -50,8 +50,8 @@ def snapshot_changes(df: DataFrame, date: str, key: str, values: list[str], orde
     other columns are pruned. One date only, or an empty table, gives no rows.
 
     Rows are first reduced to one per key and date (map-side, so one key with a third of all rows sends one
-    row a partition). The keys are then range-partitioned without regard to the date, so a task has the same
-    range of every snapshot; there rows are sorted by date and key and cut into chunks where the hash of a
+    row a partition). The keys are then partitioned by their hash without regard to the date, so a task has the
+    same keys of every snapshot; there rows are sorted by date and key and cut into chunks where the hash of a
     key says so, which gives the same cuts in every snapshot wherever the keys are the same. Chunks whose
     digest and row count equal those of the same chunk one snapshot before hold no change and are dropped,
     on both sides. Only rows of the other chunks are brought together by key. A digest is the pair of a sum
@@ -64,13 +64,14 @@ def snapshot_changes(df: DataFrame, date: str, key: str, values: list[str], orde
         .agg(F.max("_row").alias("_row"))
     )
     # One row per delivered date; the count of snapshots, not of rows.
-    dates = cut(rows.select("_date").distinct().withColumn("_idx", F.row_number().over(Window.orderBy("_date")).cast("int")))
+    delivered = df.where(F.col(key).isNotNull() & F.col(date).isNotNull()).select(F.col(date).alias("_date")).distinct()
+    dates = cut(delivered.withColumn("_idx", F.row_number().over(Window.orderBy("_date")).cast("int")))
     vs = [f"v{i}" for i in range(len(values))]
     flat = rows.join(dates, "_date").select("_idx", "_key", *[f"_row.{v}" for v in vs], F.xxhash64("_key").alias("_h"))
     flat = flat.withColumn("_digest", F.xxhash64("_key", *[F.coalesce(F.col(v).cast("string"), F.lit("")) for v in vs], *[F.col(v).isNull() for v in vs]))
-    ranged = flat.repartitionByRange("_key").sortWithinPartitions("_idx", "_key")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
-    chunked = cut(ranged.mapInArrow(_chunks, f"{fields}, _chunk bigint").withColumn("_part", F.spark_partition_id()))
+    placed = flat.repartition("_key").sortWithinPartitions("_idx", "_key")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields)
+    chunked = cut(placed.mapInArrow(_chunks, f"{fields}, _chunk bigint").withColumn("_part", F.spark_partition_id()))
     at = Window.partitionBy("_part", "_chunk").orderBy("_idx")
     digest = F.struct("_sum", "_xor", "_n")
     sums = chunked.groupBy("_part", "_chunk", "_idx").agg(
