@@ -24,8 +24,8 @@ NEAR_BITS, PASS = 16, 0.9
 LONG = 512
 #: Texts whose postings a task holds before it sends them, pairs it holds before it counts and passes them on.
 HELD_TEXTS, HELD_PAIRS = 100_000, 1 << 20
-#: Megabytes of input a bucket, and the most buckets.
-BUCKET_MB, MOST_BUCKETS = 4, 200_000
+#: Megabytes of input (by the optimizer's estimate for the columns read) a bucket, and the most buckets.
+BUCKET_MB, MOST_BUCKETS = 0.5, 200_000
 #: Bits of a sketch (a multiple of 64) and standard deviations of slack, for pairs of long lists.
 BITS, SLACK = 192, 3.7
 #: Copies of one text that meet all others in one task.
@@ -300,7 +300,7 @@ def near_duplicates(df: DataFrame, ident: str, cols: list[str], threshold: float
     buckets = max(1, min(int(input_mb(df) / BUCKET_MB), MOST_BUCKETS))
     buckets = max(shuffle_parts(spark), buckets)
     posted = docs.where("has_runs").select("class", "words").mapInArrow(_post(run, buckets), BLOB_SCHEMA)
-    met = cut(posted.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(bits), PAIRS_SQL))
+    met = cut(posted.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_meet(bits), PAIRS_SQL))
     counted = met.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = counted.where(F.col("n") >= fewest).select("a", "b")
     long = met.where("n = 0").select(F.col("a").alias("class"), F.col("b").alias("list"))

@@ -291,7 +291,7 @@ def shared_spans(df: DataFrame, ident: str, text: str, length: int = 200) -> Dat
     buckets = max(shuffle_parts(spark), min(int(input_mb(df) / BUCKET_MB), MOST_BUCKETS))
 
     def by_bucket_of(blobs: DataFrame):
-        return blobs.repartition(buckets, "bucket").groupBy("bucket")
+        return blobs.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
 
     met = cut(by_bucket_of(rows.mapInArrow(_anchors(period, width, buckets), BLOB_SCHEMA)).applyInArrow(_meet, RUNS))
     packed = only_keys_of(met, "doc_id", rows, "doc_id").mapInArrow(_texts(buckets), BLOB_SCHEMA)
