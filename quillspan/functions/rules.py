@@ -14,16 +14,16 @@ from quillspan.functions.text import has_any
 Rule = tuple[str, Sequence[Sequence[str]]]
 
 
-def first_rule(text: Column, rules: Sequence[Rule], default: str | None) -> Column:
+def first_rule(text: Column, rules: Sequence[Rule], default: str | None, other: Column | None = None) -> Column:
+    """The name of the first rule that holds, else default, or what other gives."""
+    default = F.lit(default) if other is None else other
     out: Column | None = None
     for name, groups in rules:
         held: Column = F.lit(True)
         for g in groups:
             held = held & has_any(text, g)
         out = F.when(held, name) if out is None else out.when(held, name)
-    if out is None:
-        return F.lit(default)
-    return out.otherwise(F.lit(default))
+    return default if out is None else out.otherwise(default)
 
 
 def any_word(text: Column, words: Sequence[str]) -> Column:
@@ -52,10 +52,50 @@ def keyword_scores(text: Column, categories: Mapping[str, Sequence[str]]) -> Col
 
 
 def effective_source(source: Column, title: Column, prefix: str) -> Column:
-    """The publisher a headline ends with, where the source is only an aggregator whose name begins with prefix."""
+    """The publisher a headline ends with, where the source is only an aggregator whose name begins with prefix, as it is written."""
     return F.when(F.startswith(source, F.lit(prefix)) & F.contains(title, F.lit(" - ")), F.trim(F.substring_index(title, " - ", -1))).otherwise(source)
 
 
+def publisher(source: Column, title: Column, prefix: str, unknown: str = "unknown") -> Column:
+    """The publisher a headline ends with, where the source is only an aggregator whose name begins with prefix, in any letter case.
+
+    A source that is null or empty, of a headline that names none, is unknown.
+    """
+    own = F.trim(F.coalesce(source, F.lit("")))
+    last = F.trim(F.substring_index(F.trim(F.coalesce(title, F.lit(""))), " - ", -1))
+    inferred = F.startswith(F.lower(own), F.lit(prefix.lower())) & F.contains(F.trim(F.coalesce(title, F.lit(""))), F.lit(" - ")) & (last != "")
+    return F.when(inferred, last).when(own == "", unknown).otherwise(own)
+
+
+def organization(source: Column, title: Column, url: Column, names: Mapping[str, str], prefix: str) -> Column:
+    """The first of names (a term and the organization it stands for) that source, headline or address mentions, else the source in lower case."""
+    own = publisher(source, title, prefix)
+    text = F.lower(F.concat_ws(" ", own, F.coalesce(title, F.lit("")), F.coalesce(url, F.lit(""))))
+    return first_rule(text, [(name, [[term]]) for term, name in names.items()], None, F.lower(own))
+
+
+def lead_phrase(title: Column, leads: Mapping[str, Sequence[str]], default: str) -> Column:
+    """The phrase whose openings the title begins with, in any letter case."""
+    low = F.lower(F.trim(F.coalesce(title, F.lit(""))))
+    out: Column | None = None
+    for phrase, openings in leads.items():
+        held: Column = F.lit(False)
+        for o in openings:
+            held = held | F.startswith(low, F.lit(o))
+        out = F.when(held, phrase) if out is None else out.when(held, phrase)
+    return F.lit(default) if out is None else out.otherwise(F.lit(default))
+
+
+def excluded_noise(title: Column, source: Column, text: Column, terms: Sequence[str]) -> Column:
+    """Whether headline, source or text holds a term of another subject that shares a section's words."""
+    return has_any(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title, source, text)]), terms)
+
+
+def page_category(c: Column) -> Column:
+    """Aliases of engineering made one; all else stays as it is."""
+    return F.when(c.isin("cae_ai_engineering", "engineering_ai"), "engineering_ai").otherwise(F.coalesce(c, F.lit("")))
+
+
 def trusted(kind: Column, tags: Column, aggregator: str, tag: str) -> Column:
     """Whether a record doesn't come from an aggregator, or its source bears the tag."""
     return (F.coalesce(kind, F.lit("")) != aggregator) | F.coalesce(F.array_contains(tags, tag), F.lit(False))

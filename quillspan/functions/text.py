@@ -109,6 +109,16 @@ def extract_summary(title: Column, text: Column, most: int = 340, default: str =
     return F.when(two == "", default).when(F.length(two) > most, F.concat(F.rtrim(F.substring(two, 1, most - 3)), F.lit("..."))).otherwise(two)
 
 
+def truncated(c: Column, most: int) -> Column:
+    """The first `most` code points; a null text is empty."""
+    return F.substring(F.coalesce(c, F.lit("")), 1, most)
+
+
+def named(title: Column, url: Column) -> Column:
+    """Whether a record has both a title and an address."""
+    return (F.coalesce(title, F.lit("")) != "") & (F.coalesce(url, F.lit("")) != "")
+
+
 def entry_id(url: Column, title: Column) -> Column:
     """16 hex digits of the SHA-1 of the address, else of the title, in lower case."""
     raw = F.when(F.coalesce(url, F.lit("")) != "", url).otherwise(F.coalesce(title, F.lit("")))

@@ -66,6 +66,13 @@ def activity(end: Column, *days: Column) -> Column:
     return F.when(age.isNull(), 0.0).when(age <= 7, 1.0).when(age <= 30, 0.7).when(age <= 90, 0.4).otherwise(0.1)
 
 
+def iso_time(t: Column) -> Column:
+    """An instant in ISO form with its offset (UTC), with microseconds only where there are some; null stays null."""
+    whole = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    rest = F.pmod(F.unix_micros(t), F.lit(1_000_000))
+    return F.concat(whole, F.when(rest > 0, F.concat(F.lit("."), F.lpad(rest.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+
+
 def long_date(d: Column) -> Column:
     return F.date_format(d, "EEEE, MMMM dd, yyyy")
 

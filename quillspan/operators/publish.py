@@ -18,15 +18,18 @@ def published_index(items: DataFrame, day: str, ident: str, select: Callable[[Da
     """What was published on each day, when a day may not repeat what the days before published.
 
     The result of a day depends on those of the days before, so days are gone through in order, one job a day
-    that reads the written results of the last lookback_days days and writes its own. select takes the rows of
+    that reads that day's folder and the written results of the last lookback_days days, and writes its own. select takes the rows of
     one day that repeat nothing and returns the idents chosen (with any further columns). What a few days
     published is a section's limit times the days, so it is broadcast and compared directly while that is at
     most BROADCAST_ROWS rows, and joined by blocks of words beyond.
     """
     spark = items.sparkSession
-    days = [r[0] for r in items.select(day).where(F.col(day).isNotNull()).distinct().orderBy(day).collect()]  # one a day
-    path = scratch(spark, "published")
     cols = items.columns
+    folders = scratch(spark, "items")
+    items.where(F.col(day).isNotNull()).repartition(day).write.partitionBy(day).parquet(folders)
+    items = spark.read.schema(items.schema).parquet(folders).select(*cols)
+    days = [r[0] for r in items.select(day).distinct().orderBy(day).collect()]  # one a day, by the folders' names
+    path = scratch(spark, "published")
     schema = None
     sizes: dict = {}
     for d in days:
@@ -66,6 +69,37 @@ def quality_problems(sections: DataFrame, day: str, section: str, least: dict[st
     return counts.select(day, F.explode(found).alias("problem"))
 
 
+def issue_problems(expected: DataFrame, log: DataFrame, day: str) -> DataFrame:
+    """(day, problem) of each expected issue: it is missing, had no sources, had neither records fetched nor candidates, or is a placeholder.
+
+    log has one row an issue: day, source_count, fetched_count, candidates, note; nulls count as nothing. expected has
+    one row a day; so an issue without any row is found too.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    found = F.array_compact(F.array(
+        F.when(F.col("_has").isNull(), F.lit("the issue is missing")).otherwise(F.when(zero("source_count") <= 0, F.lit("no source was loaded"))),
+        F.when(F.col("_has") & (zero("fetched_count") <= 0) & (zero("candidates") <= 0), F.lit("nothing was fetched")),
+        F.when(F.contains(F.lower(F.coalesce("note", F.lit(""))), F.lit("placeholder")), F.concat(F.lit("a placeholder: "), "note")),
+    ))
+    return expected.select(day).join(log.withColumn("_has", F.lit(True)), day, "left").select(day, F.explode(found).alias("problem"))
+
+
+def told_before(published: DataFrame, day: str, lookback_days: int) -> DataFrame:
+    """What each day's issue may not repeat: a row of published for each of the lookback_days days after its own."""
+    return published.withColumn(day, F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, lookback_days))))
+
+
+def latest_reports(paths: DataFrame, path: str, kinds: list[str], pattern: str) -> DataFrame:
+    """(kind, path): of each kind the report whose name is the greatest, null if there is none.
+
+    A report of a kind lies in a folder of that name; pattern is matched with the file's name, which begins with its date.
+    """
+    name, folder = F.substring_index(path, "/", -1), F.element_at(F.split(path, "/"), -2)
+    mine = paths.where(name.rlike(pattern)).groupBy(folder.alias("kind")).agg(F.max_by(path, name).alias("path"))
+    every = paths.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
+    return every.join(F.broadcast(mine.where(F.col("kind").isin(kinds))), "kind", "left")  # one row a kind
+
+
 def duplicate_problems(items: DataFrame, ident: str, day: str, lookback_days: int, variant: Variant = BUILDER) -> DataFrame:
     """(ident, other, kind): pairs within one issue, and per record its first repeat of an earlier issue."""
     pairs = same_event_pairs(items, ident, [day], variant)

@@ -102,6 +102,12 @@ def author_rollup(ranked: DataFrame) -> DataFrame:
     )
 
 
+def top_authors(rollup: DataFrame, n: int = 20) -> DataFrame:
+    """The first n owners by stars gained, stars and repositories, with their place."""
+    order = [*ordering("stars_gained", "stars", "repos"), F.col("author")]
+    return rollup.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def growth_hint(stars: Column, ordinal: Column) -> Column:
     """An assumed growth of sample rows: a part of the stars that varies with the ordinal, 6 at least."""
     return F.greatest(F.lit(6), F.floor(stars * (F.lit(0.01) + (ordinal % 5) * F.lit(0.004)))).cast("long")

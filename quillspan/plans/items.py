@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import scores as sc
 from quillspan.functions import text as tx
-from quillspan.functions.rules import any_word, effective_source, first_rule, section_matches, trusted
+from quillspan.functions.rules import any_word, broad_discovery, effective_source, excluded_noise, first_rule, page_category, publisher, section_matches, trusted
 from quillspan.functions.times import long_date, recency, widened, within_window
 from quillspan.functions.urls import normal_url, part
 from quillspan.operators import events as ev
 from quillspan.operators.dedup import first_rows, first_wins
 from quillspan.operators.publish import BROADCAST_ROWS, calendar_pages, duplicate_problems, published_index, quality_problems, without_earlier_sections
-from quillspan.operators.selection import Pass, select_greedily
+from quillspan.operators.events import BUILDER
+from quillspan.operators.sections import Issue, day_sections, draft_section, draft_topic_section, summary_section
+from quillspan.operators.selection import Pass
 from quillspan.operators.trend import growth_hint, latest_first_delivered
 from quillspan.plans.scalars import _HOURS_SQL, HOURS, NOW, PUBLISHERS, hours_of, log_sql, tokens_sql
 from quillspan.session import cut, table
@@ -213,8 +215,8 @@ SQL["q35_source_cap"] = """SELECT r.source, r.rec_id, row_number() OVER (PARTITI
 JOIN sources s ON s.name = r.source QUALIFY place <= coalesce(s.max_entries, 25)"""
 
 
-def _event_items(df: DataFrame) -> DataFrame:
-    return ev.event_columns(df, "title", "url", "source", EVENT_RULES, PUBLISHERS)
+def _event_items(df: DataFrame, variant: ev.Variant = BUILDER) -> DataFrame:
+    return ev.event_columns(df, "title", "url", "source", EVENT_RULES, PUBLISHERS, variant)
 
 
 def q36_same_event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,48 +270,62 @@ def q38_event_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["q38_event_key"] = f"SELECT cand_id, {_rules(EVENT_RULES, 'NULL', 'lower(title)')} AS event_key FROM candidates"
 
 
-def _selectable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = _items(spark, sf_dir).where("issue_date IS NOT NULL")
-    cat = F.lower(F.trim(F.coalesce("category", F.lit(""))))
-    flags = {
-        "general": cat == "general_ai", "engineering": cat.isin("engineering_ai", "cae_ai_engineering"), "bio": cat.isin("general_ai", "research") & any_word(all_text(), MEDICAL),
-        "curated": F.coalesce("source_kind", F.lit("")) != "google_news_rss", "preferred": F.coalesce("source_priority", F.lit("")) == "high",
-    }
-    i = i.withColumns(flags).withColumns({"topic": first_rule(all_text(), TOPIC_RULES, "other"), "broad": F.when(~F.col("curated"), "broad")})
-    return _event_items(i)
-
+DISCOVERY, NEWS_NAME, DISCOVERY_TAG = "google_news_rss", "Google News", "trusted_discovery"
+NOISE = ["licence", "pricing", "broker"]
+ISSUE = Issue(("issue_date",), "cand_id", ("-score", "cand_id"))
 
-def _section(df: DataFrame, name: str, per_source: int, broad: int, preferred: bool) -> DataFrame:
-    both = F.col(name) & (F.col("preferred") if preferred else F.lit(True))
-    return df.withColumns({"first": both & F.col("curated"), "second": both, "third": F.col(name)}), [
-        Pass("first", {"topic": 2, "_src": per_source}, ("topic", "_src")),
-        Pass("second", {"topic": 2, "_src": per_source, "broad": broad}, ("topic", "_src", "broad")),
-        Pass("second", {"_src": per_source, "broad": broad}, ("_src", "broad")),
-        Pass("third", {"_src": per_source, "broad": broad}, ("_src", "broad")),
-    ]
 
-
-def _select(df: DataFrame, passes: list[Pass], limit: int) -> DataFrame:
-    return select_greedily(df, ["issue_date"], "cand_id", ["-score", "cand_id"], passes, limit)
+def _selectable(spark: SparkSession, sf_dir: str, category=canonical_category, variant: ev.Variant = BUILDER) -> DataFrame:
+    """Records of issues with what sections are chosen by."""
+    i = _items(spark, sf_dir).where("issue_date IS NOT NULL")
+    kind, source, tags = F.coalesce("source_kind", F.lit("")), F.coalesce("source", F.lit("")), F.col("source_tags")
+    broad = broad_discovery(kind, source, tags, DISCOVERY, NEWS_NAME, DISCOVERY_TAG)
+    told = any_word(F.concat_ws(" ", all_text(), "source", F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ")), MEDICAL)
+    i = i.withColumns({
+        "category": category(F.lower(F.trim(F.coalesce("category", F.lit(""))))), "preferred": F.coalesce("source_priority", F.lit("")) == "high", "trusted": trusted(kind, tags, DISCOVERY, DISCOVERY_TAG),
+        "broad": F.when(F.coalesce(broad, F.lit(False)), "broad"), "topic": first_rule(all_text(), TOPIC_RULES, "other"), "about": told, "noise": excluded_noise(F.col("title"), F.col("source"), F.col("text"), NOISE), "origin": source,
+    })
+    cols = ["cand_id", "issue_date", "title", "url", "source", "score", "category", "preferred", "trusted", "broad", "topic", "about", "noise", "origin"]
+    return _event_items(i.select(*cols), variant).drop("url")
 
 
 def q39_select_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(*_section(_selectable(spark, sf_dir), "general", 2, 2, True), 10)
+    return draft_section(cut(_selectable(spark, sf_dir)), ISSUE, "general_ai", 10)
 
 
 def q40_select_engineering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(*_section(_selectable(spark, sf_dir), "engineering", 1, 1, False), 5)
+    return draft_section(_selectable(spark, sf_dir), ISSUE, "engineering_ai", 5)
 
 
 def q41_select_bio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _selectable(spark, sf_dir).withColumns({"first": F.col("bio") & F.col("curated"), "second": F.col("bio")})
-    return _select(df, [Pass("first", {"topic": 2}, ("topic",)), Pass("second", {"broad": 1}, ("broad",))], 5)
+    return draft_topic_section(_selectable(spark, sf_dir), ISSUE, F.col("about"), 5)
+
+
+def q60_select_research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section without caps of its own."""
+    return draft_section(_selectable(spark, sf_dir), ISSUE, "research", 5)
+
+
+def q61_select_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary_section(_selectable(spark, sf_dir), ISSUE, "engineering_ai", 5, F.col("noise"))
+
+
+def q62_day_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of each issue as shown: from its audit list, short ones filled from the draft's."""
+    rows = cut(_selectable(spark, sf_dir))
+    pick = {"general_ai": draft_section(rows, ISSUE, "general_ai", 10), "engineering_ai": draft_section(rows, ISSUE, "engineering_ai", 5), "topic": draft_topic_section(rows, ISSUE, F.col("about"), 5), "research": draft_section(rows, ISSUE, "research", 5)}
+    origin = F.lower(publisher(F.col("source"), F.col("title"), NEWS_NAME))
+    shown = cut(_selectable(spark, sf_dir, page_category, ev.RENDERER).withColumn("origin", origin))
+    listed = {k: cut(shown.join(v, ["issue_date", "cand_id"])) for k, v in pick.items()}
+    best = first_rows(shown, ["issue_date"], [F.col("score").desc_nulls_last(), F.col("cand_id")], 100).drop("place")
+    return day_sections(best, listed, ISSUE, F.col("about"), F.col("noise"))
 
 
 def q42_published_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, passes = _section(_selectable(spark, sf_dir), "general", 2, 2, False)
-    cols = ["cand_id", "issue_date", "score", "_tok", "_url", "_key", "_src", "topic", "broad", "first", "second", "third"]
-    return published_index(cut(df.where("third").select(*cols)), "issue_date", "cand_id", lambda day: _select(day, passes, 10)).select("issue_date", "cand_id", "place")
+    rows = _selectable(spark, sf_dir).where(section_matches("general_ai", F.col("category"), F.col("preferred")))
+    cols = ["cand_id", "issue_date", "score", "_tok", "_url", "_key", "_src", "topic", "broad", "category", "preferred", "trusted", "origin"]
+    passes = [Pass("trusted", {"topic": 2, "origin": 2}, ("topic", "origin")), Pass("_any", {"topic": 2, "origin": 2, "broad": 2}, ("topic", "origin", "broad")), Pass("_any", {"origin": 2, "broad": 2}, ("origin", "broad"))]
+    return published_index(rows.select(*cols), "issue_date", "cand_id", lambda day: ISSUE.select(day.withColumn("_any", F.lit(True)), passes, 10, BUILDER)).select("issue_date", "cand_id", "place")
 
 
 def q43_archive_spine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def trend_report(snapshots: DataFrame, period: Period, categories: list[str], pe
             parts.append(f"## Category {c}")
             for name, df in tops.items():
                 parts += [f"### By {name}", _lines(df.where(F.col("in_category") == c).orderBy("place"))]
-        rollup = trend.author_rollup(ranked).orderBy(F.desc("stars_gained"), F.desc("stars"), F.desc("repos"), "author").limit(authors)
+        rollup = trend.top_authors(trend.author_rollup(ranked), authors).orderBy("place")
         rows = rollup.select("author", "repos", "stars", "stars_gained", "appearances", "categories").collect()
         parts += ["## Owners", table_lines(["Owner", "Repositories", "Stars", "Gained", "Appearances", "Categories"], [tuple(r) for r in rows])]
     finally:
