@@ -55,23 +55,38 @@ def same_event(a: str, b: str, variant: Variant = BUILDER) -> Column:
     return held
 
 
-def _blocks(df: DataFrame, group: Sequence[str], ident: str, frequency: DataFrame, variant: Variant) -> DataFrame:
+def _pairs_of(words: Column, kind: Column) -> Column:
+    """A hash of kind and each two of the words, whatever their order."""
+    places = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(places, lambda i: F.transform(F.slice(words, i + 1, F.size(words)), lambda x: F.xxhash64(kind, F.least(x, F.element_at(words, i)), F.greatest(x, F.element_at(words, i))))))
+
+
+def _blocks(df: DataFrame, group: Sequence[str], ident: str, frequency: DataFrame, variant: Variant, by_two: bool = False) -> DataFrame:
     """(group, block, ident): any two records that are one event share a block.
 
     Rules by words need 4 common words, or 2 of one source: of the words, rarest first, all but the 3 (or 1)
-    most frequent are enough to share one, so the crowded blocks of frequent words are never made.
+    most frequent are enough to share one, so the crowded blocks of frequent words are never made. by_two makes
+    blocks of two words each instead: two of 4 common words are among all but the 2 most frequent, and of one source
+    both. Such blocks are far smaller and more; they are named by a hash, which can only propose more.
     """
     words = df.select(*group, ident, "_src", F.size("_tok").alias("n"), F.explode("_tok").alias("w")).join(frequency, "w")
     listed = words.groupBy(*group, ident, "_src", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("l"))
-    keep = listed.select(*group, ident, F.explode(F.array_union(
-        F.transform(F.slice("l", 1, F.greatest(F.col("n") - 3, F.lit(0))), lambda x: F.concat(F.lit("w:"), x["w"])),
-        F.transform(F.slice("l", 1, F.greatest(F.col("n") - 1, F.lit(0))), lambda x: F.concat(F.lit("s:"), F.col("_src"), F.lit(" "), x["w"])) if variant.same_source else F.array().cast("array<string>"),
-    )).alias("block"))
+    if by_two:
+        listed = listed.withColumn("l", F.transform("l", lambda x: x["w"]))
+        rare = _pairs_of(F.slice("l", 1, F.greatest(F.col("n") - 2, F.lit(0))), F.lit("w"))
+        own = _pairs_of(F.col("l"), F.concat(F.lit("s:"), F.col("_src"))) if variant.same_source else F.array().cast("array<bigint>")
+        keep = listed.select(*group, ident, F.explode(F.array_union(rare, own)).alias("block"))
+    else:
+        keep = listed.select(*group, ident, F.explode(F.array_union(
+            F.transform(F.slice("l", 1, F.greatest(F.col("n") - 3, F.lit(0))), lambda x: F.concat(F.lit("w:"), x["w"])),
+            F.transform(F.slice("l", 1, F.greatest(F.col("n") - 1, F.lit(0))), lambda x: F.concat(F.lit("s:"), F.col("_src"), F.lit(" "), x["w"])) if variant.same_source else F.array().cast("array<string>"),
+        )).alias("block"))
+    named = F.xxhash64 if by_two else F.concat
     parts = [keep]
     if variant.url:
-        parts.append(df.where("_url <> ''").select(*group, ident, F.concat(F.lit("u:"), "_url").alias("block")))
+        parts.append(df.where("_url <> ''").select(*group, ident, named(F.lit("u:"), "_url").alias("block")))
     if variant.event_key:
-        parts.append(df.where("_key IS NOT NULL").select(*group, ident, F.concat(F.lit("k:"), "_key").alias("block")))
+        parts.append(df.where("_key IS NOT NULL").select(*group, ident, named(F.lit("k:"), "_key").alias("block")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -87,7 +102,7 @@ def same_event_pairs(df: DataFrame, ident: str, group: Sequence[str] = (), varia
 
     df comes from event_columns and has one row per ident. Exact: blocks only propose, same_event decides.
     """
-    blocks = _blocks(df, group, ident, word_frequency(df), variant)
+    blocks = _blocks(df, group, ident, word_frequency(df), variant, True)
     l, r = blocks.select(*group, "block", F.col(ident).alias("left")), blocks.select(*group, "block", F.col(ident).alias("right"))
     pairs = l.join(r, [*group, "block"]).where("left < right").select(*group, "left", "right").distinct()
     need = [ident, "_tok", "_url", "_key", "_src"]
@@ -99,7 +114,7 @@ def repeats_of(df: DataFrame, past: DataFrame, ident: str, day: str, lookback_da
     """(ident, earlier): for each record of df the least ident of past that tells of the same event and is
     1 to lookback_days days older. Both come from event_columns."""
     f = word_frequency(df.select("_tok").union(past.select("_tok")))
-    new, old = _blocks(df, [day], ident, f, variant), _blocks(past, [day], ident, f, variant)
+    new, old = _blocks(df, [day], ident, f, variant, True), _blocks(past, [day], ident, f, variant, True)
     l = new.select(F.col(day).alias("d"), "block", F.col(ident).alias("left"))
     r = old.select(F.col(day).alias("e"), "block", F.col(ident).alias("right"))
     near = l.join(r, "block").where((F.col("e") < F.col("d")) & (F.col("e") >= F.date_sub("d", lookback_days))).select("left", "right").distinct()

@@ -220,7 +220,7 @@ def _event_items(df: DataFrame, variant: ev.Variant = BUILDER) -> DataFrame:
 
 
 def q36_same_event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _event_items(_items(spark, sf_dir, EVENT).where("issue_date IS NOT NULL"))
+    e = cut(_event_items(_items(spark, sf_dir, EVENT).where("issue_date IS NOT NULL")).select("cand_id", "issue_date", "_tok", "_url", "_key", "_src"))
     return ev.same_event_pairs(e, "cand_id", ["issue_date"]).select("issue_date", F.col("left").alias("cand_id_a"), F.col("right").alias("cand_id_b"))
 
 
@@ -352,7 +352,7 @@ UNION ALL SELECT issue_date, 'vendor has ' || v || ' of 12' FROM n WHERE v < 12
 
 
 def q45_duplicate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_problems(_event_items(_audit(spark, sf_dir)), "cand_id", "issue_date", 7)
+    return duplicate_problems(cut(_event_items(_audit(spark, sf_dir, cols=EVENT))), "cand_id", "issue_date", 7)
 
 
 SQL["q45_duplicate_gate"] = SQL["q37_history_repeats"].replace("SELECT cand_id, min(other) AS earlier FROM p WHERE", "SELECT cand_id, min(other) AS other, 'history' AS kind FROM p WHERE") + f"""
@@ -460,7 +460,7 @@ AND (coalesce(source_kind, '') <> 'google_news_rss' OR coalesce(list_contains(so
 def q57_section_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the audit lists whose event no kept record of an earlier section of the issue tells of."""
     place = F.when(F.col("category") == "engineering_ai", 1).when(F.col("category") == "research", 2).otherwise(0)
-    e = _event_items(_audit(spark, sf_dir)).withColumn("section_ord", place)
+    e = cut(_event_items(_audit(spark, sf_dir, cols=(*EVENT, "category"))).withColumn("section_ord", place))
     return without_earlier_sections(e, "cand_id", ["issue_date"], "section_ord").select("issue_date", "cand_id", "section_ord")
 
 
