@@ -32,6 +32,8 @@ BITS, SLACK = 192, 3.7
 SHARE_OF_CLASS = 2048
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
 PAIRS_SQL = "a long, b long, n int"
+MET = pa.schema([*PAIRS, ("sketch", pa.binary())])
+MET_SQL = "a long, b long, n int, sketch binary"
 
 
 def normal_words(*cols: str) -> Column:
@@ -99,6 +101,12 @@ def near_bits(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """One bit of each of the first BITS minima of every text, as bytes."""
+    bit = (mix(sig[:BITS].astype(U), 11) & U(1)).astype(np.uint8)
+    return np.packbits(bit.T, axis=1)
+
+
 def _most(n: int, p: float, chance: float) -> tuple[int, float]:
     """The greatest m so that of n trials m succeed or more with this chance at least, and that chance."""
     upper, m = 1.0, 0
@@ -116,14 +124,16 @@ def collisions_needed(threshold: float) -> tuple[int, int]:
 def _post(run: int, buckets: int):
     """Post every text under each of its coordinates, packed by bucket."""
 
-    def send(ids: np.ndarray, value: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    def send(ids: np.ndarray, value: np.ndarray, near: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
         _, one = np.unique(ids, return_index=True)
-        ids, value, near = ids[one], value[one].reshape(-1), near[one].reshape(-1)
+        ids, value, near, sketch = ids[one], value[one].reshape(-1), near[one].reshape(-1), sketch[one]
         doc = np.repeat(np.arange(len(ids)), COORDINATES)
         rows = []
         for b, k in by_bucket(bucket_of(value, buckets), buckets):
             used, at = np.unique(doc[k], return_inverse=True)
-            rows.append((b, pack(ids[used], deltas(at), (value[k] & U(0xFFFFFFFF)).astype(np.uint32), near[k])))
+            rows.append((b, pack(deltas(ids[used]), deltas(at), (value[k] & U(0xFFFFFFFF)).astype(np.uint32), near[k])))
+        for b, k in by_bucket(bucket_of(mix(ids.astype(U), 31), buckets), buckets):
+            rows.append((b, pack(ids[k], sketch[k].reshape(-1))))
         return blob_batch(rows)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +143,7 @@ def _post(run: int, buckets: int):
             some = np.flatnonzero(count)
             if len(some):
                 sig = signatures(h, count[some], COORDINATES * PER_COORDINATE)
-                held.append((ids[some], coordinate_values(sig), near_bits(sig)))
+                held.append((ids[some], coordinate_values(sig), near_bits(sig), sketches(sig)))
             if sum(len(x[0]) for x in held) >= HELD_TEXTS:
                 yield send(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held = []
@@ -145,22 +155,35 @@ def _post(run: int, buckets: int):
 
 def _counted(ids: np.ndarray, pairs: list[np.ndarray]) -> pa.RecordBatch:
     pair, n = np.unique(np.concatenate(pairs), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(ids[pair >> 32]), pa.array(ids[pair & 0xFFFFFFFF]), pa.array(n.astype(np.int32))], schema=PAIRS)
+    return _met(ids[pair >> 32], ids[pair & 0xFFFFFFFF], n)
+
+
+def _met(a: np.ndarray, b: np.ndarray, n: np.ndarray, sketch: list[bytes] | None = None) -> pa.RecordBatch:
+    last = pa.nulls(len(a), pa.binary()) if sketch is None else pa.array(sketch, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), last], schema=MET)
 
 
 def _meet(fewest_bits: int):
     """One bucket: pairs of texts that meet, with the number of their collisions here, and the members of long lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A member of a long list is the row (text, name of the list, 0). Pairs are counted and passed on in batches."""
+        """A member of a long list is the row (text, name of the list, 0), a sketch (text, 0, -1). Pairs are counted and passed on in batches."""
         ids, docs, values, bits, base = [], [], [], [], 0
         for blob in (x for b in batches for x in b.column("blob")):
-            i, at, v, near = unpack(blob.as_py())
+            i, *rest = unpack(blob.as_py())
+            if len(rest) == 1:
+                none = np.zeros(len(i), np.int64)
+                yield _met(i, none, none - 1, [x.tobytes() for x in rest[0].reshape(len(i), -1)])
+                continue
+            at, v, near = rest
+            i = undelta(i)
             ids.append(i)
             docs.append(undelta(at) + base)
             values.append(v)
             bits.append(near)
             base += len(i)
+        if not ids:
+            return
         ids, rank = np.unique(np.concatenate(ids), return_inverse=True)
         key = (np.concatenate(values).astype(U) << U(32)) | rank[np.concatenate(docs)].astype(U)
         del docs, values
@@ -175,7 +198,7 @@ def _meet(fewest_bits: int):
         long = np.repeat(size > LONG, size)
         if long.any():
             name = (value[long].astype(np.int64) << 31) ^ int(ids[0])  # with the bucket's least text, so other buckets' lists differ
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[long]]), pa.array(name), pa.array(np.zeros(len(name), np.int32))], schema=PAIRS)
+            yield _met(ids[doc[long]], name, np.zeros(len(name)))
         found: list[np.ndarray] = []
         n, step = 0, 1
         at = np.flatnonzero(np.repeat((size > 1) & (size <= LONG), size))
@@ -197,20 +220,6 @@ def _meet(fewest_bits: int):
     return run
 
 
-def _sketch(run: int):
-    """A bit of each of BITS minima, as whole numbers."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_batches(batches):
-            h, count = shingle_hashes(texts, run)
-            some = np.flatnonzero(count)
-            bits = (mix(signatures(h, count[some], BITS).astype(U), 11) & U(1)).astype(np.uint8).T
-            words = np.packbits(bits, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([w.tobytes() for w in words], pa.binary())], names=["class", "sketch"])
-
-    return step
-
-
 def _tiles(fewest: int):
     """Pairs of two tiles of a long list, or within one, whose sketches agree in fewest bits or more."""
 
@@ -233,16 +242,32 @@ def _tiles(fewest: int):
     return run
 
 
-def _of_long_lists(long: DataFrame, docs: DataFrame, run: int, threshold: float) -> DataFrame:
-    """Pairs of texts that share a long list, dealt out over tasks by pairs of tiles; no pair is left out but by its sketch."""
+def _fewest_bits(threshold: float) -> int:
+    """How many bits of two sketches agree at the threshold, less the slack."""
     agree = BITS * (1 + threshold) / 2
-    fewest = int(agree - SLACK * (agree * (1 - threshold) / 2) ** 0.5)
-    sketches = docs.join(long.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("words").alias("words")).mapInArrow(_sketch(run), "class long, sketch binary")
+    return int(agree - SLACK * (agree * (1 - threshold) / 2) ** 0.5)
+
+
+def _of_long_lists(long: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of texts that share a long list, dealt out over tasks by pairs of tiles; no pair is left out but by its sketch."""
     tiles = long.groupBy("list").agg(F.ceil(F.count("*") / LONG).cast("int").alias("tiles"))
-    placed = long.join(tiles, "list").withColumn("tile", F.pmod(F.xxhash64("class"), "tiles").cast("int")).join(sketches, "class")
+    placed = long.join(tiles, "list").withColumn("tile", F.pmod(F.xxhash64("class"), "tiles").cast("int")).join(sketch, "class")
     other = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     cells = other.select("list", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"), "tile", "class", "sketch")
-    return cells.groupBy("list", "i", "j").applyInArrow(_tiles(fewest), PAIRS_SQL).select("a", "b")
+    return cells.groupBy("list", "i", "j").applyInArrow(_tiles(_fewest_bits(threshold)), PAIRS_SQL).select("a", "b")
+
+
+def _agreeing(fewest: int):
+    """The pairs whose sketches agree in fewest bits or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
+                near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= BITS - fewest
+                yield b.filter(pa.array(near)).select(["a", "b"])
+
+    return run
 
 
 def _verify(run: int, threshold: float):
@@ -285,10 +310,11 @@ def near_duplicates(df: DataFrame, ident: str, cols: list[str], threshold: float
     coordinate, and each text is posted under each of its 128 coordinate-value pairs. A posting carries one bit of
     each of 16 other minima; a meeting in which too few of them agree is skipped (at most a tenth of those of similar
     texts). Collisions are counted per pair, and pairs with as many as two texts at the threshold have but with a
-    chance of 3e-4 (31 at 0.8, the least of 1 at 0.5) are retained. Similarity is then computed from the texts. The
-    chance that a pair has none is 5e-4 at 0.5 and 1e-5 at 0.55. Copies, even a third of all rows, post the same class and collapse in each batch and
+    chance of 3e-4 (31 at 0.8, the least of 1 at 0.5) are retained. Of these, pairs that can't be similar by 192 one-bit
+    collisions (3.7 standard deviations) are dropped before any text is moved, and similarity is computed from the
+    texts. The chance that a pair has no collision is 5e-4 at 0.5 and 1e-5 at 0.55. Copies, even a third of all rows, post the same class and collapse in each batch and
     bucket. A list of more than 512 different texts, a coordinate that many share, is dealt out over tasks by pairs
-    of tiles, where pairs that can't be similar by 192 one-bit collisions (3.7 standard deviations) are skipped.
+    of tiles, where the sketches alone decide which pairs go on.
     """
     spark = df.sparkSession
     bits, fewest = collisions_needed(threshold)
@@ -300,12 +326,14 @@ def near_duplicates(df: DataFrame, ident: str, cols: list[str], threshold: float
     buckets = max(1, min(int(input_mb(df) / BUCKET_MB), MOST_BUCKETS))
     buckets = max(shuffle_parts(spark), buckets)
     posted = docs.where("has_runs").select("class", "words").mapInArrow(_post(run, buckets), BLOB_SCHEMA)
-    met = cut(posted.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_meet(bits), PAIRS_SQL))
+    met = cut(posted.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_meet(bits), MET_SQL))
     counted = met.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = counted.where(F.col("n") >= fewest).select("a", "b")
+    sketch = met.where("n < 0").groupBy(F.col("a").alias("class")).agg(F.first("sketch").alias("sketch"))
+    first, second = (sketch.select(F.col("class").alias(c), F.col("sketch").alias(f"s{c}")) for c in ("a", "b"))
+    pairs = counted.where(F.col("n") >= fewest).select("a", "b").join(first, "a").join(second, "b").mapInArrow(_agreeing(_fewest_bits(threshold)), "a long, b long")
     long = met.where("n = 0").select(F.col("a").alias("class"), F.col("b").alias("list"))
     if not long.isEmpty():
-        pairs = pairs.union(_of_long_lists(long, docs, run, threshold)).distinct()
+        pairs = pairs.union(_of_long_lists(long, sketch, threshold)).distinct()
     pairs = cut(pairs)
     # one record stands for a class: only its text is made again, and moved
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
