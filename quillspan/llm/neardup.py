@@ -25,7 +25,7 @@ LONG = 512
 #: Texts whose postings a task holds before it sends them, pairs it holds before it counts and passes them on.
 HELD_TEXTS, HELD_PAIRS = 100_000, 1 << 20
 #: Megabytes of input (by the optimizer's estimate for the columns read) a bucket, and the most buckets.
-BUCKET_MB, MOST_BUCKETS = 0.5, 200_000
+BUCKET_MB, MOST_BUCKETS = 1, 200_000
 #: Bits of a sketch (a multiple of 64) and standard deviations of slack, for pairs of long lists.
 BITS, SLACK = 192, 3.7
 #: Copies of one text that meet all others in one task.
