@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,32 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, T.StructType([*SCHEMA, T.StructField("src_ord", T.IntegerType())]))
 
 
+def settings(path: str, defaults: dict) -> dict:
+    """Windows, weights, keywords and the like of a YAML or JSON file over defaults, sections merged; read on the driver. No file gives the defaults."""
+    if not os.path.exists(path):
+        return dict(defaults)
+    with open(path, encoding="utf-8") as f:
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            own = yaml.safe_load(f) or {}
+        else:
+            own = json.load(f)
+    return {k: {**defaults[k], **own[k]} if isinstance(defaults.get(k), dict) and isinstance(own.get(k), dict) else own.get(k, defaults.get(k)) for k in {**defaults, **own}}
+
+
+def load_any(spark: SparkSession, path: str, older: str) -> DataFrame:
+    """The normalised registry of path, or where that file is missing, of the older one."""
+    if os.path.exists(path):
+        return normalised(load(spark, path))
+    with open(older, encoding="utf-8") as f:
+        listed = json.load(f)
+    listed = listed["sources"] if isinstance(listed, dict) else listed
+    rows = [tuple(s.get(k) for k in ("name", "url", "kind", "reach", "category")) + (i,) for i, s in enumerate(listed)]
+    old = spark.createDataFrame(rows, "name string, url string, kind string, reach string, category string, src_ord int")
+    return normalised(from_legacy(old).join(old.select("name", "src_ord"), "name"))
+
+
 def from_legacy(rows: DataFrame) -> DataFrame:
     """Rows of the older form (name, url, kind, reach, category) in the present one: all enabled, without tags."""
     return rows.select(

@@ -28,6 +28,28 @@ def payload(sections: DataFrame, day: str, section: str, place: str) -> DataFram
     return per.groupBy(day).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(section, "items")))).alias("s")).select(day, F.to_json("s").alias("payload"))
 
 
+ITEM = "place int, id string, title string, url string, source string, source_kind string, category string, published_at string, text string, score double, score_reasons array<string>, source_tags array<string>"
+
+
+def read_payload(payloads: DataFrame, day: str, item: str = ITEM) -> DataFrame:
+    """(day, section, and the fields of item) of issues written as JSON objects of ordered lists; the inverse of payload.
+
+    What isn't a list of records in them, such as a run log, gives no row; a place that is missing is that in the list.
+    """
+    one = payloads.select(day, "payload", F.explode(F.json_object_keys("payload")).alias("section")).withColumn("list", F.expr("get_json_object(payload, concat('$.', section))")).where("startswith(ltrim(list), '[')")
+    rows = one.select(day, "section", F.posexplode(F.from_json("list", f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in item.split(', '))}>>")).alias("n", "r")).where("r IS NOT NULL")
+    flat = rows.select(day, "section", "n", "r.*")
+    return flat.withColumn("place", F.coalesce("place", F.col("n") + 1)).drop("n")
+
+
+RUN_LOG = "struct<generated_at:string,fetched_count:bigint,filtered_count:bigint,duplicate_count:bigint,source_count:bigint,note:string,failures:array<struct<source:string,error:string>>>"
+
+
+def run_logs(payloads: DataFrame, day: str) -> DataFrame:
+    """The run log of each issue, nulls where it has none."""
+    return payloads.select(day, F.from_json(F.get_json_object("payload", "$.run_log"), RUN_LOG).alias("l")).select(day, "l.*")
+
+
 def append_snapshots(df: DataFrame, path: str) -> None:
     """Append rows as JSON lines, a folder per date; nothing written before is touched."""
     df.withColumn("day", F.col("snapshot_date")).write.mode("append").partitionBy("day").json(path)
