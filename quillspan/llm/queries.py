@@ -80,6 +80,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", 200)
 
 
+SQL["p9_found"] = """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200),
+w AS (SELECT doc_id, unnest(range(length(text) - 199)) AS s, text FROM d),
+h AS (SELECT doc_id, s, md5_number(substr(text, s + 1, 200)) AS h FROM w),
+m AS (SELECT h FROM h GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+p AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM (SELECT DISTINCT doc_id, s FROM h SEMI JOIN m USING (h))),
+g AS (SELECT doc_id, s, count(*) FILTER (gap IS NULL OR gap > 200) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM p)
+SELECT doc_id, min(s) AS span_start, max(s) + 200 AS span_end FROM g GROUP BY doc_id, n
+"""
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records half of whose three-word runs are common."""
@@ -88,6 +99,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("cand_id_a"), F.col("b").alias("cand_id_b"))
 
 
+SQL["p5_found"] = """
+WITH c AS (SELECT cand_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[a-z0-9]+') AS w FROM candidates WHERE cand_id IS NOT NULL),
+s AS (SELECT DISTINCT cand_id, unnest(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM c WHERE len(w) >= 3),
+n AS (SELECT cand_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.cand_id AS cand_id_a, b.cand_id AS cand_id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.cand_id < b.cand_id GROUP BY 1, 2)
+SELECT cand_id_a, cand_id_b FROM p JOIN n x ON x.cand_id = cand_id_a JOIN n y ON y.cand_id = cand_id_b WHERE k >= 0.5 * (x.n + y.n - k)
+"""
+
+
 def _profiles(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
     return [tuple(r) for r in table(spark, sf_dir, "pack_profiles").select("profile", "capacity_tokens").orderBy("profile").collect()]  # a fixed table
 
