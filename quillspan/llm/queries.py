@@ -152,3 +152,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "incoming_candidates")
     found = repeats_of_history(rows, "batch_no", "rec_id", "title", "url", "published_at")
     return found.select(F.col("accepted_rec").alias("accepted_rec_id"), F.col("repeat_rec").alias("repeat_rec_id"))
+
+
+SQL["p1_found"] = r"""
+WITH RECURSIVE r AS (SELECT batch_no, rec_id, title, published_at AS told, row_number() OVER (ORDER BY batch_no, rec_id) AS place, regexp_replace(trim(url), '(?s)#.*$', '') AS u FROM incoming_candidates),
+s AS (SELECT *, regexp_extract(u, '(?s)^(?:[^?]*?://|//)?([^/?]*)(?:/([^?]*))?(?:\?(.*))?$', ['host', 'path', 'params']) AS x FROM r),
+k AS (SELECT batch_no, rec_id, told, place, CASE WHEN u IS NULL OR (x.host = '' AND x.path = '') THEN NULL ELSE regexp_replace(lower(x.host), '^www\.', '') || '/' || regexp_replace(x.path, '/$', '') || '?' ||
+        array_to_string(list_sort(list_filter(string_split(x.params, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_|(fbclid|gclid|mc_cid|mc_eid|ref)(=|$))'))), '&') END AS page,
+      list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS words, list_sort(list_distinct(regexp_extract_all(title, '[0-9]+'))) AS numbers FROM s),
+w AS (SELECT rec_id, place, batch_no, told, numbers, len(words) AS n, unnest(words) AS word FROM k),
+c AS (SELECT a.rec_id AS a, a.place AS before, b.rec_id AS b, b.place AS place, a.n AS an, b.n AS bn, count(*) AS n FROM w a JOIN w b ON a.word = b.word AND a.numbers = b.numbers
+      WHERE a.place < b.place AND b.batch_no > (SELECT min(batch_no) FROM k) AND abs(epoch_us(a.told) - epoch_us(b.told)) <= 259200000000 GROUP BY ALL),
+l AS (SELECT a, before, b, place FROM c WHERE 10 * n >= 7 * (an + bn - n)
+      UNION SELECT a.rec_id, a.place, b.rec_id, b.place FROM k a JOIN k b ON a.page = b.page WHERE a.place < b.place AND b.batch_no > (SELECT min(batch_no) FROM k)),
+q AS MATERIALIZED (SELECT b, list(a ORDER BY before) AS likes, row_number() OVER (ORDER BY any_value(place)) AS i FROM l GROUP BY b),
+t AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS repeats, NULL::BIGINT AS a, NULL::BIGINT AS b
+      UNION ALL SELECT q.i, CASE WHEN len(list_filter(q.likes, lambda x: NOT list_contains(t.repeats, x))) > 0 THEN list_append(t.repeats, q.b) ELSE t.repeats END,
+        list_filter(q.likes, lambda x: NOT list_contains(t.repeats, x))[1], q.b FROM t JOIN q ON q.i = t.i + 1)
+SELECT a AS accepted_rec_id, b AS repeat_rec_id FROM t WHERE a IS NOT NULL
+"""
