@@ -97,17 +97,15 @@ def word_frequency(df: DataFrame) -> DataFrame:
     return df.select(F.explode("_tok").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
 
 
-def same_event_pairs(df: DataFrame, ident: str, group: Sequence[str] = (), variant: Variant = BUILDER) -> DataFrame:
+def same_event_pairs(df: DataFrame, ident: str, group: Sequence[str] = (), variant: Variant = BUILDER, counted: DataFrame | None = None) -> DataFrame:
     """(group, left, right), left < right, of all pairs within a group that tell of one event.
 
-    df comes from event_columns and has one row per ident. Exact: blocks only propose, same_event decides.
+    df comes from event_columns and has one row per ident. counted, if given, has the same words and groups, maybe
+    more than once, and is cheaper to read first.
     """
-    blocks = _blocks(df, group, ident, word_frequency(df), variant, True)
-    l, r = blocks.select(*group, "block", F.col(ident).alias("left")), blocks.select(*group, "block", F.col(ident).alias("right"))
-    pairs = l.join(r, [*group, "block"]).where("left < right").select(*group, "left", "right").distinct()
-    need = [ident, "_tok", "_url", "_key", "_src"]
-    a, b = df.select(*need).alias("a"), df.select(*need).alias("b")
-    return pairs.join(a, F.col("left") == F.col(f"a.{ident}")).join(b, F.col("right") == F.col(f"b.{ident}")).where(same_event("a", "b", variant)).select(*group, "left", "right")
+    from quillspan.operators.pairs import pairs_within  # it takes the rules from here
+
+    return pairs_within(df, ident, group, variant, df if counted is None else counted)
 
 
 def repeats_of(df: DataFrame, past: DataFrame, ident: str, day: str, lookback_days: int, variant: Variant = BUILDER) -> DataFrame:

@@ -220,8 +220,9 @@ def _event_items(df: DataFrame, variant: ev.Variant = BUILDER) -> DataFrame:
 
 
 def q36_same_event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = cut(_event_items(_items(spark, sf_dir, EVENT).where("issue_date IS NOT NULL")).select("cand_id", "issue_date", "_tok", "_url", "_key", "_src"))
-    return ev.same_event_pairs(e, "cand_id", ["issue_date"]).select("issue_date", F.col("left").alias("cand_id_a"), F.col("right").alias("cand_id_b"))
+    e = _event_items(_items(spark, sf_dir, EVENT).where("issue_date IS NOT NULL"))
+    delivered = _event_items(table(spark, sf_dir, "candidates").where("issue_date IS NOT NULL"))
+    return ev.same_event_pairs(e, "cand_id", ["issue_date"], counted=delivered).select("issue_date", F.col("left").alias("cand_id_a"), F.col("right").alias("cand_id_b"))
 
 
 _URL = r"lower(regexp_extract(trim(coalesce(url, '')), '^([^:/?#]+://[^/?#]+)', 1) || regexp_replace(regexp_extract(trim(coalesce(url, '')), '^[^:/?#]+://[^/?#]+([^?#]*)', 1), '/+$', ''))"
