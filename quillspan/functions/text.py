@@ -16,9 +16,9 @@ COMMON_WORDS = (
 ).split()
 
 
-def collapse(c: Column) -> Column:
+def collapse(c: Column, blanks: str = r"(?U)\s+") -> Column:
     """Runs of any blanks as one space, none at the ends; null is empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), blanks, " "))
 
 
 def html_unescape(c: Column) -> Column:
@@ -101,11 +101,11 @@ def clean_cell(c: Column, most: int = 110) -> Column:
     return F.when(v == "", "-").when(F.length(v) > most, F.concat(F.substring(v, 1, most - 3), F.lit("..."))).otherwise(v)
 
 
-def extract_summary(title: Column, text: Column, most: int = 340, default: str = "No summary.") -> Column:
+def extract_summary(title: Column, text: Column, most: int = 340, default: str = "No summary.", blanks: str = r"(?U)\s+") -> Column:
     """The first two sentences of the text, without the title it may begin with."""
-    body, head = collapse(text), F.trim(F.coalesce(title, F.lit("")))
+    body, head = collapse(text, blanks), F.trim(F.coalesce(title, F.lit("")))
     rest = F.when((head != "") & F.startswith(F.lower(body), F.lower(head)), F.regexp_replace(F.substr(body, F.length(head) + 1), r"^[ \-:.,]+|[ \-:.,]+$", "")).otherwise(body)
-    two = F.array_join(F.filter(F.slice(F.split(rest, r"(?<=[.!?])\s+"), 1, 2), lambda s: s != ""), " ")
+    two = F.array_join(F.filter(F.slice(F.split(rest, r"(?<=[.!?])" + blanks), 1, 2), lambda s: s != ""), " ")
     return F.when(two == "", default).when(F.length(two) > most, F.concat(F.rtrim(F.substring(two, 1, most - 3)), F.lit("..."))).otherwise(two)
 
 
