@@ -242,8 +242,10 @@ SELECT issue_date, cand_id_a, cand_id_b FROM p WHERE (au <> '' AND au = bu) OR (
 
 def q37_history_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that repeat one of the audit lists (what was published, the 100 best of an issue) of the week before."""
-    new = _event_items(_items(spark, sf_dir, EVENT).where("issue_date IS NOT NULL"))
-    past = cut(_event_items(_audit(spark, sf_dir, cols=EVENT)))
+    return _repeats_of_audit(_event_items(_items(spark, sf_dir, EVENT).where("issue_date IS NOT NULL")), cut(_event_items(_audit(spark, sf_dir, cols=EVENT))))
+
+
+def _repeats_of_audit(new: DataFrame, past: DataFrame) -> DataFrame:
     join = ev.repeats_of_few if past.count() <= BROADCAST_ROWS else ev.repeats_of
     return join(new, past, "cand_id", "issue_date", 7)
 

@@ -52,3 +52,9 @@ def test_q36_pairs_by_no_event_key(spark, tmp_path):
     rows = [*records(36, 2), candidate(900, date(2026, 1, 1), "News of the grid", source="X"), candidate(901, date(2026, 1, 1), "Power cut hits a grid", source="Y")]
     path = write(spark, tmp_path, "candidates", rows, CANDIDATES)
     assert equals_sql(spark, path, "q36_same_event_pairs", "candidates") < QUERIES["q79_event_pairs_every_rule"](spark, path).count()
+
+
+def test_q37_checks_the_audit_lists(spark, tmp_path):
+    rows = [*records(37, 3, 390), candidate(900, date(2026, 1, 1), "All about a grid", score=99.0), candidate(901, date(2026, 1, 2), "News of the grid", score=-1.0)]
+    path = write(spark, tmp_path, "candidates", rows, CANDIDATES)
+    assert equals_sql(spark, path, "q37_history_repeats", "candidates") < QUERIES["q80_history_repeats_of_all"](spark, path).count()
