@@ -392,6 +392,10 @@ def q48_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = (F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != "")
     fresh = within_window(F.col("published_at"), F.col("issue_date").cast("timestamp"), hours)
     m = m.select("issue_date", "source", _unique_key().alias("key"), (fresh & named & tx.looks_english(all_text()) & (F.size("hits") > 0) & _gated(m)).alias("passed"))
+    return _run_log(m)
+
+
+def _run_log(m: DataFrame) -> DataFrame:
     return m.groupBy("issue_date").agg(
         F.count("*").alias("fetched"), F.count_if("passed").alias("filtered"), (F.count_if("passed") - F.countDistinct(F.when(F.col("passed"), F.col("key")))).alias("duplicates"), F.countDistinct("source").alias("sources"),
     )

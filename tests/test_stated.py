@@ -58,3 +58,16 @@ def test_q37_checks_the_audit_lists(spark, tmp_path):
     rows = [*records(37, 3, 390), candidate(900, date(2026, 1, 1), "All about a grid", score=99.0), candidate(901, date(2026, 1, 2), "News of the grid", score=-1.0)]
     path = write(spark, tmp_path, "candidates", rows, CANDIDATES)
     assert equals_sql(spark, path, "q37_history_repeats", "candidates") < QUERIES["q80_history_repeats_of_all"](spark, path).count()
+
+
+def test_q48_has_two_gates(spark, tmp_path):
+    day, text = date(2026, 6, 10), "A language model for everybody, with benchmark results."
+    good = lambda i, url, **k: candidate(i, day, k.pop("title", f"Title {i}"), url, **{"published_at": datetime(2026, 6, 9), "text": text} | k)
+    rows = [
+        good(1, "https://a.example/x"), good(2, "https://A.example/x"), good(3, "https://a.example/x/?utm_source=y"), good(4, "https://a.example/late", published_at=datetime(2025, 1, 1)), good(5, None), good(6, "", title="title 5"),
+        good(7, "https://a.example/none", text="Nothing to the point is said here at all."), good(8, "https://a.example/de", text="é" * 300), good(9, "https://a.example/mesh", text="A mesh generator by hand, and a new turbine."), good(10, "u", title=None),
+    ]
+    path = write(spark, tmp_path, "candidates", rows, CANDIDATES)
+    equals_sql(spark, path, "q48_run_log", "candidates")
+    log = QUERIES["q48_run_log"](spark, path).first()
+    assert (log["fetched"], log["filtered"], log["duplicates"]) == (10, 7, 2) and QUERIES["q81_run_log_all_gates"](spark, path).first()["filtered"] < 7
