@@ -7,6 +7,7 @@ import pytest
 
 from quillspan.operators import events as ev
 from quillspan.operators import pairs
+from quillspan.plans.catalogue import QUERIES
 from test_events import alike
 
 PHRASES = ["heat exchanger siting", "air traffic control room", "power electronics", "week pilot after customer", "despite open questions", "railway timetables", "metal forming press line", "drug discovery"]
@@ -63,3 +64,10 @@ def test_pairs_move_few_rows_a_record(spark):
     before = shuffled(spark)
     ev.same_event_pairs(df, "id").write.format("noop").mode("overwrite").save()
     assert shuffled(spark) - before < 6 * len(rows)
+
+
+def test_q79_moves_few_rows_a_record(spark, data):
+    n = spark.read.parquet(f"{data}/candidates.parquet").count()
+    before = shuffled(spark)
+    QUERIES["q79_event_pairs_every_rule"](spark, data).write.format("noop").mode("overwrite").save()
+    assert shuffled(spark) - before < 30 * n
