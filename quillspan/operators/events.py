@@ -97,15 +97,14 @@ def word_frequency(df: DataFrame) -> DataFrame:
     return df.select(F.explode("_tok").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
 
 
-def same_event_pairs(df: DataFrame, ident: str, group: Sequence[str] = (), variant: Variant = BUILDER, counted: DataFrame | None = None) -> DataFrame:
+def same_event_pairs(df: DataFrame, ident: str, group: Sequence[str] = (), variant: Variant = BUILDER, once: bool = True) -> DataFrame:
     """(group, left, right), left < right, of all pairs within a group that tell of one event.
 
-    df comes from event_columns and has one row per ident. counted, if given, has the same words and groups, maybe
-    more than once, and is cheaper to read first.
+    df comes from event_columns and has one row per ident, or, unless once, more that are alike.
     """
     from quillspan.operators.pairs import pairs_within  # it takes the rules from here
 
-    return pairs_within(df, ident, group, variant, df if counted is None else counted)
+    return pairs_within(df, ident, group, variant, once)
 
 
 def repeats_of(df: DataFrame, past: DataFrame, ident: str, day: str, lookback_days: int, variant: Variant = BUILDER) -> DataFrame:

@@ -14,8 +14,11 @@ from pyspark.sql import types as T
 
 from quillspan.operators.events import OF_SMALLER, OF_UNION, SAME_SOURCE, Variant
 
-#: So many frequent words are ordered by their frequency, all others come before them; any order is exact.
+#: So many frequent words, two bytes each, are ordered by their frequency, all others come before them; any order is exact.
 RANKED = 16384
+#: Bits of the filter of words and addresses that more than one record has; what is moved for no reason grows with its load, the result stays.
+CELLS = 1 << 23
+BITMAP = 1 << 15
 #: Records of a group from which it is divided further, and groups that may be.
 DIVIDED, DIVIDED_GROUPS = 50_000, 1000
 MOST_PARTS = 128
@@ -66,37 +69,81 @@ def _equal(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarra
         yield whose + s.start, order[lo[s][whose] + k]
 
 
-def _deal(group: Sequence[str], ident: str, ranked: np.ndarray, variant: Variant):
-    """Each record to the parts of its group that look after its rarest words, its address and its event key.
+def _encoded(group: Sequence[str], ident: str, ranked: np.ndarray, shared: np.ndarray):
+    """Records with what they can have in common with others: an address, frequent words as ranks and others as hashes, both as bytes.
 
-    ranked has hashes of frequent words, rarest first. A title's words become codes that sort as the order has them.
+    ranked has hashes of frequent words, rarest first, shared the filter's bytes. A title's words become codes that sort
+    as the order has them; those that no other record has come first of all and are only counted.
     """
     by_hash = np.argsort(ranked)
     hashes = ranked[by_hash]
 
+    def met(h: np.ndarray) -> np.ndarray:
+        cell = h & np.int64(CELLS - 1)
+        return (shared[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            words = b.column("_w")
+            words, url = b.column("_w"), b.column("_u").to_numpy()
             size = np.diff(np.asarray(words.offsets)).astype(np.int64)
             flat, rec = words.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
             code = -1 - (flat & np.int64(2**63 - 1))
             if len(hashes):
                 at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
                 code = np.where(hashes[at] == flat, by_hash[at], code)
-            code = code[np.lexsort((code, rec))]
-            start = np.cumsum(size) - size
-            place = np.arange(len(code)) - start[rec]
-            parts, url, key, some = (b.column(c).to_numpy().astype(np.int64) for c in ("_n", "_u", "_k", "_any"))
+            kept = (code >= 0) | met(flat)
+            code, rec = code[kept], rec[kept]
+            order = np.lexsort((code, rec))
+            code, rec = code[order], rec[order]
+            packed = []
+            for own, kind in ((code < 0, np.int64), (code >= 0, np.uint16)):
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rec[own], minlength=len(size)))]) * kind().itemsize
+                packed.append(pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(code[own].astype(kind))]))
+            cols = [b.column(c) for c in (*group, ident, "_s", "_k")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.where(met(url), url, 0)), pa.array(size.astype(np.int32)), *packed], [*group, ident, "_s", "_k", "_u", "_size", "_rare", "_w"])
+
+    return run
+
+
+def _codes(rare: pa.BinaryArray, ranked: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all titles, and how many each has."""
+    parts = []
+    for column, kind in ((rare, np.int64), (ranked, np.uint16)):
+        _, ends, data = column.buffers()
+        ends = np.frombuffer(ends, np.int32, len(column) + 1, column.offset * 4) if len(column) else np.zeros(1, np.int32)
+        flat = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].view(kind) if ends[-1] > ends[0] else np.empty(0, kind)
+        parts.append((np.diff(ends).astype(np.int64) // kind().itemsize, flat))
+    (few, first), (many, then) = parts
+    count = few + many
+    start = np.cumsum(count) - count
+    code = np.empty(int(count.sum()), np.int64)
+    each, k = _runs(few)
+    code[start[each] + k] = first
+    each, k = _runs(many)
+    code[start[each] + few[each] + k] = then
+    return code, count
+
+
+def _deal(group: Sequence[str], ident: str, variant: Variant):
+    """Each record to the parts of its group that look after its rarest words, its address and its event key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code, count = _codes(b.column("_rare"), b.column("_w"))
+            parts, url, key, some, size = (b.column(c).to_numpy().astype(np.int64) for c in ("_n", "_u", "_k", "_any", "_size"))
+            rec, start, least = np.repeat(np.arange(len(size)), count), np.cumsum(count) - count, _least(size)
+            place = np.arange(len(code)) - start[rec] + (size - count)[rec]
             part = _part(code, parts[rec])
             home = some % parts
-            told = size >= OF_UNION[0]
+            of_source = (count >= SAME_SOURCE[0]) & variant.same_source
+            short = of_source & (size <= SHORT)
+            told = (count >= least) & ~short
             home[told] = part[start[told]]
-            short = (size >= SAME_SOURCE[0]) & (size <= SHORT) & variant.same_source
-            home[short] = (some % parts)[short]
-            rare = (place < (size - _least(size) + 1)[rec]) & ~short[rec]
-            met = np.unique(rec[rare] * MOST_PARTS + part[rare])
+            rare = (place < (size - least + 1)[rec]) & told[rec]
+            lone = np.flatnonzero(of_source & ~short & ~told)
+            met = np.unique(np.concatenate([rec[rare] * MOST_PARTS + part[rare], lone * MOST_PARTS + home[lone]]))
             who, of = _runs(np.where(short, parts, 0))
             keyed, each = _runs(np.where(key != 0, parts, 0))
             at_url = np.flatnonzero(url)
@@ -104,27 +151,25 @@ def _deal(group: Sequence[str], ident: str, ranked: np.ndarray, variant: Variant
             where = np.concatenate([met % MOST_PARTS, of, (url[at_url] & 0x7FFFFFFF) % parts[at_url], each])
             kind = np.repeat([WORDS, ADDRESS, KEY], [len(met) + len(who), len(at_url), len(keyed)])
             is_home = np.where(kind == KEY, (some % parts)[whose], home[whose]) == where
-            sent = np.where(kind == WORDS, size[whose], 0)
-            _, k = _runs(sent)
-            offsets = np.concatenate([[0], np.cumsum(sent)])
-            taken = pa.array(whose)
             for s in range(0, len(whose), 1 << 16):
-                t = slice(s, min(s + (1 << 16), len(whose)))
-                inner = slice(offsets[t.start], offsets[t.stop])
-                values = code[np.repeat(start[whose[t]], sent[t]) + k[inner]]
-                cols = [b.column(c).take(taken[t.start:t.stop]) for c in (*group, ident, "_u", "_s", "_k", "_n")]
-                cols += [pa.array((kind * MOST_PARTS + where)[t].astype(np.int32)), pa.array(is_home[t]), pa.ListArray.from_arrays(pa.array((offsets[t.start:t.stop + 1] - offsets[t.start]).astype(np.int32)), pa.array(values))]
-                yield pa.RecordBatch.from_arrays(cols, [*group, ident, "_u", "_s", "_k", "_n", "_block", "_home", "_w"])
+                t = slice(s, s + (1 << 16))
+                taken = pa.array(whose[t])
+                cols = [b.column(c).take(taken) for c in (*group, ident, "_u", "_s", "_k", "_n", "_size")]
+                cols += [b.column(c).take(pa.array(whose[t], mask=kind[t] != WORDS)).fill_null(b"") for c in ("_rare", "_w")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array((kind * MOST_PARTS + where)[t].astype(np.int32)), pa.array(is_home[t])], [*group, ident, "_u", "_s", "_k", "_n", "_size", "_rare", "_w", "_block", "_home"])
 
     return run
 
 
 class _Titles:
-    """The titles of one part of a group; a word that only one of them has is left out, but counted in its size."""
+    """The titles of one part of a group; a word that only one of them has is left out, but counted in its size.
 
-    def __init__(self, code: np.ndarray, size: np.ndarray):
-        rec = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(code)) - (np.cumsum(size) - size)[rec]
+    count is how many of a title's words are in code; the others came before them.
+    """
+
+    def __init__(self, code: np.ndarray, count: np.ndarray, size: np.ndarray):
+        rec = np.repeat(np.arange(len(size)), count)
+        place = np.arange(len(code)) - (np.cumsum(count) - count)[rec] + (size - count)[rec]
         _, word, often = np.unique(code, return_inverse=True, return_counts=True)
         kept = often[word] > 1
         self.size, self.rec, self.place, self.word, self.code, self.words = size, rec[kept], place[kept], word[kept], code[kept], max(len(often), 1)
@@ -199,7 +244,7 @@ class _Titles:
         return self.counted[level][own]
 
 
-def _found(ids: np.ndarray, url: np.ndarray, src: np.ndarray, key: np.ndarray, home: np.ndarray, t: pa.ListArray, parts: int, kind: int, part: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _found(ids: np.ndarray, url: np.ndarray, src: np.ndarray, key: np.ndarray, home: np.ndarray, size: np.ndarray, titles: tuple[np.ndarray, np.ndarray], parts: int, kind: int, part: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of records, each by the first rule it holds by: address, event key, words, source."""
     told = lambda a, b: ((url[a] == url[b]) & (url[a] != 0)) | ((key[a] == key[b]) & (key[a] != 0))
     if kind == ADDRESS:
@@ -213,8 +258,7 @@ def _found(ids: np.ndarray, url: np.ndarray, src: np.ndarray, key: np.ndarray, h
             new = (ids[a] < ids[b]) & ~((url[a] == url[b]) & (url[a] != 0))
             yield a[new], b[new]
         return
-    size = np.diff(np.asarray(t.offsets)).astype(np.int64)
-    w = _Titles(t.flatten().to_numpy(), size)
+    w = _Titles(*titles, size)
     if not len(w.word):
         return
     for x, y, level in w.blocks(_part(w.code, np.full(len(w.code), parts)) == part):
@@ -248,11 +292,12 @@ def _meet(group: Sequence[str], ident: str, variant: Variant):
         ids[order] = np.arange(len(order))
         url, src, event = (rows.column(c).to_numpy() for c in ("_u", "_s", "_k"))
         kind, part = divmod(key[len(group)].as_py(), MOST_PARTS)
-        words = rows.column("_w").combine_chunks()
+        titles = _codes(*(rows.column(c).combine_chunks() for c in ("_rare", "_w")))
+        size = rows.column("_size").to_numpy().astype(np.int64)
         home = rows.column("_home").combine_chunks().to_numpy(zero_copy_only=False)
         if not variant.same_source:
             home = np.zeros(len(home), bool) if kind == WORDS else home
-        for a, b in _found(ids, url, src, event, home, words, rows.column("_n")[0].as_py(), kind, part):
+        for a, b in _found(ids, url, src, event, home, size, titles, rows.column("_n")[0].as_py(), kind, part):
             for s in range(0, len(a), 1 << 18):
                 x, y = a[s:s + (1 << 18)], b[s:s + (1 << 18)]
                 less = ids[x] < ids[y]
@@ -262,29 +307,52 @@ def _meet(group: Sequence[str], ident: str, variant: Variant):
     return run
 
 
-def pairs_within(df: DataFrame, ident: str, group: Sequence[str], variant: Variant, counted: DataFrame) -> DataFrame:
-    """(group, left, right), left < right; df and counted come from event_columns.
+def _common(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the RANKED most frequent words, rarest first, and the filter of words and addresses that more than one row has.
 
-    counted has the titles and groups that words and groups are counted by, which decide an order and how finely
-    work is divided. Words, addresses, keys and sources are told apart by 64-bit hashes.
+    Both come from one count, in one query.
+    """
+    each = df.select(F.inline(F.concat(F.transform("_w", lambda x: F.struct(x.alias("v"), F.lit(1).alias("word"))), F.when(F.col("_u") != 0, F.array(F.struct(F.col("_u").alias("v"), F.lit(0).alias("word")))).otherwise(F.array().cast("array<struct<v:bigint,word:int>>")))))
+    many = each.groupBy("v").agg(F.count("*").alias("f"), F.sum("word").alias("words")).where("f > 1 AND words <= f")
+    ranked = many.orderBy(F.col("words").desc(), "f", "v").limit(RANKED).where("words > 1").select(F.col("v"), F.col("words").alias("f"), F.lit(None).cast("binary").alias("bits"))
+    cell = F.col("v").bitwiseAND(CELLS - 1)
+    maps = many.groupBy(F.shiftright(cell, 15).alias("v")).agg(F.bitmap_construct_agg(F.pmod(cell, F.lit(BITMAP))).alias("bits")).select("v", F.lit(0).cast("bigint").alias("f"), "bits")
+    shared, words = np.zeros(CELLS // 8, np.uint8), []
+    for r in ranked.union(maps).collect():
+        if r["bits"] is None:
+            words.append((r["f"], r["v"]))
+        else:
+            shared[r["v"] * (BITMAP // 8):(r["v"] + 1) * (BITMAP // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return np.array([v for _, v in sorted(words)], np.int64), shared
+
+
+def pairs_within(df: DataFrame, ident: str, group: Sequence[str], variant: Variant, once: bool) -> DataFrame:
+    """(group, left, right), left < right; df comes from event_columns. Unless each ident is there once, its rows are alike.
+
+    Rows are made small before they are moved: words and addresses of one row only are left out, frequent words are
+    numbers of two bytes. Words, addresses, keys and sources are told apart by 64-bit hashes.
     """
-    hashed = F.transform("_tok", lambda x: F.xxhash64(x))
-    often = counted.select(F.explode(hashed).alias("w")).groupBy("w").agg(F.count("*").alias("f")).where("f > 1").orderBy(F.col("f").desc(), "w").limit(RANKED)
-    ranked = np.array([r["w"] for r in often.collect()][::-1], np.int64)
     known = F.lit(True)
     for g in group:
         known = known & F.col(g).isNotNull()
-    sizes = counted.groupBy(*group).agg(F.count("*").alias("_size")).where(F.col("_size") > DIVIDED).orderBy(F.col("_size").desc()).limit(DIVIDED_GROUPS)
     rows = df.where(known)
-    rows = rows.join(F.broadcast(sizes), list(group), "left") if group else rows.crossJoin(F.broadcast(counted.agg(F.count("*").alias("_size"))))
-    url, key = F.xxhash64("_url"), F.xxhash64("_key")
+    url, key, none = F.xxhash64("_url"), F.xxhash64("_key"), F.lit(0).cast("bigint")
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("_rows"))
+    sizes = sizes.where(F.col("_rows") > DIVIDED).orderBy(F.col("_rows").desc()).limit(DIVIDED_GROUPS) if group else sizes
     rows = rows.select(
-        *group, ident, F.when(F.lit(variant.url is not None) & (F.col("_url") != ""), url).otherwise(F.lit(0).cast("bigint")).alias("_u"), F.xxhash64("_src").alias("_s"),
-        F.when(F.lit(variant.event_key) & F.col("_key").isNotNull(), key).otherwise(F.lit(0).cast("bigint")).alias("_k"),
-        F.least(2 * F.greatest(F.ceil(F.coalesce("_size", F.lit(0)) / DIVIDED), F.lit(1)), F.lit(MOST_PARTS)).cast("int").alias("_n"),
-        F.pmod(F.xxhash64(ident), F.lit(1 << 30)).alias("_any"), hashed.alias("_w"),
+        *group, ident, F.when(F.lit(variant.url is not None) & (F.col("_url") != ""), url).otherwise(none).alias("_u"), F.xxhash64("_src").alias("_s"),
+        F.when(F.lit(variant.event_key) & F.col("_key").isNotNull(), key).otherwise(none).alias("_k"), F.transform("_tok", lambda x: F.xxhash64(x)).alias("_w"),
     )
-    kept = [f for f in rows.schema.fields if f.name not in ("_any", "_w")]
-    dealt = rows.mapInArrow(_deal(group, ident, ranked, variant), T.StructType([*kept, T.StructField("_block", T.IntegerType()), T.StructField("_home", T.BooleanType()), T.StructField("_w", T.ArrayType(T.LongType()))]))
+    fields = [rows.schema[c] for c in (*group, ident, "_s", "_k", "_u")]
+    packed = [T.StructField("_size", T.IntegerType()), T.StructField("_rare", T.BinaryType()), T.StructField("_w", T.BinaryType())]
+    rows = rows.mapInArrow(_encoded(group, ident, *_common(rows)), T.StructType([*fields, *packed]))
+    if not once:
+        others = [c for c in rows.columns if c != ident]
+        rows = rows.groupBy(ident).agg(F.first(F.struct(*others)).alias("_row")).select(ident, *[F.col(f"_row.{c}").alias(c) for c in others])
+    rows = rows.join(F.broadcast(sizes), list(group), "left") if group else rows.crossJoin(F.broadcast(sizes))
+    parts = F.least(2 * F.greatest(F.ceil(F.coalesce("_rows", F.lit(0)) / DIVIDED), F.lit(1)), F.lit(MOST_PARTS)).cast("int")
+    rows = rows.select(*group, ident, "_u", "_s", "_k", parts.alias("_n"), "_size", "_rare", "_w", F.pmod(F.xxhash64(ident), F.lit(1 << 30)).alias("_any"))
+    kept = [f for f in rows.schema.fields if f.name != "_any"]
+    dealt = rows.mapInArrow(_deal(group, ident, variant), T.StructType([*kept, T.StructField("_block", T.IntegerType()), T.StructField("_home", T.BooleanType())]))
     out = T.StructType([*(df.schema[g] for g in group), *(T.StructField(c, df.schema[ident].dataType) for c in ("left", "right"))])
     return dealt.groupBy(*group, "_block").applyInArrow(_meet(group, ident, variant), out)

@@ -220,9 +220,8 @@ def _event_items(df: DataFrame, variant: ev.Variant = BUILDER) -> DataFrame:
 
 
 def q36_same_event_pairs(spark: SparkSession, sf_dir: str, variant: ev.Variant = BUILDER) -> DataFrame:
-    e = _event_items(_items(spark, sf_dir, EVENT).where("issue_date IS NOT NULL"), variant)
     delivered = _event_items(table(spark, sf_dir, "candidates").where("issue_date IS NOT NULL"), variant)
-    return ev.same_event_pairs(e, "cand_id", ["issue_date"], variant, delivered).select("issue_date", F.col("left").alias("cand_id_a"), F.col("right").alias("cand_id_b"))
+    return ev.same_event_pairs(delivered, "cand_id", ["issue_date"], variant, once=False).select("issue_date", F.col("left").alias("cand_id_a"), F.col("right").alias("cand_id_b"))
 
 
 _URL = r"lower(regexp_extract(trim(coalesce(url, '')), '^([^:/?#]+://[^/?#]+)', 1) || regexp_replace(regexp_extract(trim(coalesce(url, '')), '^[^:/?#]+://[^/?#]+([^?#]*)', 1), '/+$', ''))"

@@ -71,3 +71,38 @@ def test_q79_moves_few_rows_a_record(spark, data):
     before = shuffled(spark)
     QUERIES["q79_event_pairs_every_rule"](spark, data).write.format("noop").mode("overwrite").save()
     assert shuffled(spark) - before < 30 * n
+
+
+def shuffled_bytes(spark):
+    """Bytes written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_pairs_move_few_bytes_a_record(spark):
+    """Names and addresses that one record has aren't moved with it, frequent words are numbers of two bytes."""
+    rng = random.Random(1)
+    rows = [(i, " ".join([f"name{rng.getrandbits(60)}", *(f"word{rng.randrange(2000)}" for _ in range(9))]), f"https://e.example/{rng.getrandbits(60)}", f"S{i % 50}") for i in range(6000)]
+    df = ev.event_columns(spark.createDataFrame(rows, "id long, title string, url string, source string"), "title", "url", "source")
+    before = shuffled_bytes(spark)
+    ev.same_event_pairs(df, "id").write.format("noop").mode("overwrite").save()
+    assert shuffled_bytes(spark) - before < 170 * len(rows)
+
+
+@pytest.mark.parametrize("cells", [pairs.CELLS, pairs.BITMAP])
+def test_pairs_of_titles_with_words_of_their_own(spark, monkeypatch, cells):
+    """Long titles of which few words are met elsewhere, short ones of their source, addresses met once; rows delivered twice; a full filter."""
+    monkeypatch.setattr(pairs, "CELLS", cells)
+    rng, rows = random.Random(cells), []
+    for i in range(400):
+        shared = rng.sample("heat exchanger siting traffic control power electronics week pilot customer".split(), rng.choice([0, 1, 2, 2, 3, 4, 5, 6]))
+        own = [f"own{i}n{k}" for k in range(rng.choice([0, 0, 1, 2, 4, 7]))]
+        rows.append((i, " ".join(shared + own), rng.choice([None, f"https://e.example/{i}", f"https://e.example/{rng.randrange(150)}"]), rng.choice("AB")))
+    df = ev.event_columns(spark.createDataFrame(rows, "id long, title string, url string, source string"), "title", "url", "source").cache()
+    known = [r.asDict() for r in df.collect()]
+    expected = {(a["id"], b["id"]) for a in known for b in known if a["id"] < b["id"] and alike(a, b)}
+    twice = df.union(df.where("id % 3 = 0"))
+    for got in (ev.same_event_pairs(df, "id"), ev.same_event_pairs(twice, "id", once=False)):
+        got = [tuple(r) for r in got.collect()]
+        assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 1000
